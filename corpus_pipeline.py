@@ -1,10 +1,54 @@
-"""A document pipeline of the operators of wordloom.llm."""
+"""A document pipeline of five operators of wordloom.llm: from raw documents to packed training sequences.
+
+Each stage takes (spark, docs, sf_dir); all but the last return the columns of
+``documents``.  The order: quality rules, SimHash near-dedup (one document of
+each group stays, that with the smallest doc_id), suffix-array dedup (covered
+bytes go from the text), benchmark decontamination (documents that hold an
+item go), packing.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from wordloom.llm import decontaminate, packing, quality_rules, simhash, suffix_dedup
+from wordloom.llm.common import materialize, table
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality_rules.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.keep_first(docs)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return suffix_dedup.drop_repeats(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality", quality),
+    ("near_dedup", near_dedup),
+    ("repeats", repeats),
+    ("decontamination", decontamination),
+    ("packing", pack),
+]
+
+#: Fingerprints, byte spans, edit distances and token ids are beyond SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
