@@ -17,7 +17,7 @@ import re
 import numpy as np
 
 #: Latin letters, digits, punctuation and the usual white space.
-_PLAIN = re.compile("[\t\n\r -~ -±´-¸º»¿-ɏ‐-‧‰-⁞€]*")
+_PLAIN = re.compile("[\t\n\r -~\u00a0-\u00b1\u00b4-\u00b8\u00ba\u00bb\u00bf-\u024f\u2010-\u2027\u2030-\u205e\u20ac]*")
 _WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 _CACHE = 600_000
 
