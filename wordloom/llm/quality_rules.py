@@ -172,5 +172,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataF
 
     Rows that share a doc_id are judged on their own texts, but stay only if all of them are kept.
     """
-    bad = judge(docs.select("doc_id", "text"), labels, sample).where("not kept").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    bad = judge(docs.select("doc_id", "text"), labels, sample).where("not kept").select(F.col("doc_id").alias("__bad")).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad"]), "left_anti")

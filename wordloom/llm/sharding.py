@@ -23,7 +23,7 @@ from wordloom.llm.common import text_of
 
 _FACTOR = 2862933555777941757
 _M0, _M1 = _FACTOR & 0xFFFFFFFF, _FACTOR >> 32
-_M32 = F.lit(0xFFFFFFFF)
+_M32 = 0xFFFFFFFF
 BUCKETS = 1024
 
 

@@ -274,25 +274,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, max_bu
 
 
 def keep_first(docs: DataFrame, shingle: int = 5, distance: int = 4, words: int = WORDS) -> DataFrame:
-    """docs (all columns) with the row of the smallest doc_id of each component; rows that tie on it leave one.
+    """docs (all columns) with the row of the smallest doc_id of each component.
 
-    A row without doc_id stays only where its component has no doc_id at all.
+    Rows without doc_id come after all others, in the order of a hash of their text.
+    Rows that share a doc_id leave one, that of the smallest hash.
     """
-    own = docs.select("doc_id", "text")
-    found = near_duplicates(own, shingle, distance, words=words)
-    heads = found.where("doc_id is not distinct from component_id").select("doc_id", "fingerprint").distinct()
-    known = heads.where("doc_id is not null").select(F.col("doc_id").alias("_head")).distinct()
-    kept = docs.join(known, docs["doc_id"] == known["_head"], "left_semi")
-    nameless = docs.where("doc_id is null")
-    if not nameless.isEmpty():
-        prints = fingerprints(nameless, shingle).select(F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")).distinct()
-        if not heads.where("doc_id is null").join(prints, "fingerprint", "left_semi").isEmpty():
-            kept = kept.unionByName(nameless.dropDuplicates(["text"]))
-    return _one_each(kept)
-
-
-def _one_each(docs: DataFrame) -> DataFrame:
-    """Rows that repeat a doc_id leave the one with the smallest content hash."""
-    if docs.groupBy("doc_id").count().where("doc_id is not null and count > 1").isEmpty():
-        return docs
-    return docs.dropDuplicates(["doc_id"])
+    names = docs.columns
+    named = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text_of()).bitwiseAND(2**62 - 1) + F.lit(2**62)))
+    found = near_duplicates(named.select(F.col("__id").alias("doc_id"), "text"), shingle, distance, words=words)
+    heads = found.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
+    kept = named.join(heads, "__id", "left_semi")
+    if kept.groupBy("__id").count().where("count > 1").isEmpty():
+        return kept.select(*names)
+    first = kept.groupBy("__id").agg(F.min_by(F.struct(*[F.col(f"`{x}`") for x in names]), F.xxhash64(text_of(), F.lit(3))).alias("__row"))
+    return first.select(*[F.col("__row")[x].alias(x) for x in names])

@@ -327,11 +327,12 @@ def merge_spans(spans: list[dict], n: int) -> list[tuple[int, int]]:
 
 
 def _with_spans(docs: DataFrame, text: str, min_len: int, **options) -> DataFrame:
-    """docs with _n (copies of the row's text) and spans."""
+    """docs with __copies (rows with the row's text) and __spans."""
     keys = content_key(text_of(text))
-    copies = docs.select(*keys).groupBy("_k", "_k2").agg(F.count("*").alias("_n"))
-    info = copies.join(repeated_spans(docs, text, min_len, **options), ["_k", "_k2"], "left")
-    return docs.withColumns({"_k": keys[0], "_k2": keys[1]}).join(info, ["_k", "_k2"], "left")
+    copies = docs.select(*keys).groupBy("_k", "_k2").agg(F.count("*").alias("__copies"))
+    info = copies.join(repeated_spans(docs, text, min_len, **options).withColumnRenamed("spans", "__spans"), ["_k", "_k2"], "left")
+    info = info.select(F.col("_k").alias("__k"), F.col("_k2").alias("__k2"), "__copies", "__spans")
+    return docs.withColumns({"__k": keys[0], "__k2": keys[1]}).join(info, ["__k", "__k2"], "left")
 
 
 def _cut(data: bytes, copies: int, spans: list[dict] | None, min_len: int) -> list[tuple[int, int]]:
@@ -360,7 +361,7 @@ def repeat_report(docs: DataFrame, min_len: int = 200, **options) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    return _with_spans(own, "text", min_len, **options).select("doc_id", "text", "_n", "spans").mapInArrow(report, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _with_spans(own, "text", min_len, **options).select("doc_id", "text", "__copies", "__spans").mapInArrow(report, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def drop_repeats(docs: DataFrame, min_len: int = 200, **options) -> DataFrame:
@@ -395,4 +396,4 @@ def drop_repeats(docs: DataFrame, min_len: int = 200, **options) -> DataFrame:
                 cols[i] = pa.array([len(x) for x in left], cols[i].type)
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return _with_spans(spare, "text", min_len, **options).select(*names, "_n", "spans").mapInArrow(clean, schema)
+    return _with_spans(spare, "text", min_len, **options).select(*names, "__copies", "__spans").mapInArrow(clean, schema)
