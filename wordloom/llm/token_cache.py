@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import shared_dir, text_of
+from wordloom.llm.common import materialize, shared_dir, text_of
 from wordloom.llm.tokens import counter, default_path
 
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
@@ -100,6 +100,9 @@ def count_tokens(docs: DataFrame, vocabulary: str | None = None, cache: str | No
     """
     spark = docs.sparkSession
     vocabulary = vocabulary or default_path("byte_bpe_50k.json")
-    counts = fill_cache(docs, cache or new_cache(spark), vocabulary).select("digest", "n_tokens").dropDuplicates(["digest"])
+    counts = fill_cache(docs, cache or new_cache(spark), vocabulary).select("digest", "n_tokens")
+    if cache:  # calls that ran side by side may have counted a text twice
+        counts = materialize(counts.dropDuplicates(["digest"]), "counts")
+    # both sides come straight from their exchanges, so that the join can split a hot digest
     asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text_of()).cast("long").alias("n_bytes"), F.unhex(F.sha2(text_of(), 256)).alias("digest"))
     return asked.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
