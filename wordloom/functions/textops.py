@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column
@@ -204,3 +205,26 @@ def chunks(text: str, spans: list, spec: PreTokenizerSpec | None) -> list[Chunk]
             out.append(Chunk(text[start:end], spans[start:end], len(out), body - start, True))
         start = max(end, body)
     return out
+
+
+_WIDE_RUN = re.compile("[" + re.escape("".join(sorted(WIDE_SPACES))) + "]+")
+
+
+def chunk_texts(text: str, spec: PreTokenizerSpec | None) -> list[str]:
+    """The texts of ``chunks`` alone."""
+    if spec is None:
+        return [text]
+    if not spec.use_metaspace:
+        return [w for w in _WIDE_RUN.split(text) if w] if spec.whitespace_split else [text]
+    mark = spec.replacement
+    if spec.whitespace_split:
+        first = spec.add_prefix_space or text[:1] in WIDE_SPACES and text != ""
+        return [(mark if first or i else "") + w.removeprefix(mark) for i, w in enumerate(w for w in _WIDE_RUN.split(text) if w)]
+    text = _WIDE_RUN.sub(lambda m: mark * len(m[0]), text)
+    if spec.add_prefix_space and text and not text.startswith(mark):
+        text = mark + text
+    if not spec.split:
+        return [text]
+    if len(mark) == 1:
+        return re.findall(f"{re.escape(mark)}?[^{re.escape(mark)}]+", text)
+    return [c.text for c in chunks(text, [None] * len(text), replace(spec, add_prefix_space=False))]

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass, replace
 from functools import cached_property
 
-from wordloom.functions.textops import WIDE_SPACES, TextNormalizer, chunks
-from wordloom.model import BYTE, CHAR, MAX_CODE_UNITS, WORD, AddedToken, Config, Model, NormalizerSpec, Padding, PreTokenizerSpec, Truncation, Unsupported, Vocabulary
-from wordloom.operators.kernels import Bpe, Unigram, algorithm
+from wordloom.functions.textops import WIDE_SPACES, TextNormalizer, chunk_texts, chunks
+from wordloom.model import BYTE, CHAR, LONGEST_FIRST, MAX_CODE_UNITS, WORD, AddedToken, Config, Model, NormalizerSpec, Padding, PreTokenizerSpec, Truncation, Unsupported, Vocabulary
+from wordloom.operators.encoding import Encoding
+from wordloom.operators.kernels import Bpe, Unigram, algorithm, fuse_unknown
 
+#: Chunks kept in a worker with their ids: so many, of at most so many characters.
+MEMO_SIZE, MEMO_CHARS = 500_000, 64
 Row = tuple[int, str, tuple[int, int], int | None]  # id, token, offset, word id
 
 
@@ -126,9 +130,10 @@ class Tokenizer:
 
     def num_special_tokens(self, add_bos: bool | None = None, add_eos: bool | None = None, pair: bool = False) -> int:
         """E7"""
-        bos = self.config.add_bos if add_bos is None else add_bos
-        eos = self.config.add_eos if add_eos is None else add_eos
-        return bos + eos + (self.config.pair_eos_between * eos if pair else 0)
+        t = self.vocab.trainer
+        bos = (self.config.add_bos if add_bos is None else add_bos) and t.bos_id >= 0
+        eos = (self.config.add_eos if add_eos is None else add_eos) and t.eos_id >= 0
+        return int(bos) + int(eos) + (self.config.pair_eos_between if pair and eos else 0)
 
     # vocabulary
     def add_tokens(self, tokens: list[str]) -> tuple[Tokenizer, int]:
@@ -223,10 +228,107 @@ class Tokenizer:
             out += self._plain(text[at:], at)
         return out
 
+    # encodings
+    def _special(self, role: str, type_id: int = 0) -> Encoding:
+        t = self.vocab.trainer
+        return Encoding.special(getattr(t, f"{role}_piece"), getattr(t, f"{role}_id"), type_id)
+
+    def _cut(self, e: Encoding) -> Encoding:
+        t = self.truncation
+        return e if t is None else e.with_truncation(t.max_length, t.right, True)
+
+    def _finish(self, e: Encoding, cut: bool = True) -> Encoding:
+        """Of one text: truncation, then padding to a length, then to a multiple; there is no batch to pad to."""
+        e, p = self._cut(e) if cut else e, self.padding
+        if p is not None and p.length is not None:
+            e = e.with_padding(p.length, self.pad_id, self.pad_token, p.right, p.pad_type_id)
+        if p is not None and p.multiple is not None:
+            e = e.pad_to_multiple(p.multiple, self.pad_id, self.pad_token, p.right, p.pad_type_id)
+        return e
+
+    def bare(self, text: str, add_special: bool | None = None) -> Encoding:
+        """A text with its special tokens, neither cut nor padded."""
+        bos, eos = self.ends(add_special)
+        body = Encoding.content(self.rows(text))
+        return Encoding.joined([*([self._special("bos")] if bos is not None else []), body, *([self._special("eos")] if eos is not None else [])])
+
+    def bare_pair(self, a: str, b: str, add_special: bool | None = None, max_length: int | None = None, strategy: str | None = None) -> tuple[Encoding, bool]:
+        """(two texts with their special tokens, whether a limit was there to cut them to)."""
+        bos, eos = self.ends(add_special)
+        c, t = self.config, self.truncation
+        limit = max_length if max_length is not None else t.max_length if t else None
+        first, second = Encoding.content(self.rows(a), 0, 0), Encoding.content(self.rows(b), c.pair_type_id, 1)
+        if limit is not None:
+            n_special = (bos is not None) + (0 if eos is None else 1 + c.pair_eos_between)
+            first, second = Encoding.truncate_pair(first, second, limit, strategy or (t.strategy if t else LONGEST_FIRST), n_special)
+        end = [] if eos is None else [self._special("eos", c.pair_special_type_id)]
+        return Encoding.joined([*([self._special("bos")] if bos is not None else []), first, *end * c.pair_eos_between, second, *end]), limit is not None
+
+    def encode(self, text: str, add_special: bool | None = None) -> Encoding:
+        return self._finish(self.bare(text, add_special))
+
+    def encode_pair(self, a: str, b: str, add_special: bool | None = None, max_length: int | None = None, strategy: str | None = None) -> Encoding:
+        e, limited = self.bare_pair(a, b, add_special, max_length, strategy)
+        return self._finish(e, not limited)
+
+    def _pad_all(self, batch: list[Encoding]) -> list[Encoding]:
+        p = self.padding
+        if p is None or not batch:
+            return batch
+        size = p.length if p.length is not None else max(map(len, batch))
+        size += -size % p.multiple if p.multiple else 0
+        return [e.with_padding(size, self.pad_id, self.pad_token, p.right, p.pad_type_id) for e in batch]
+
+    def encode_batch(self, texts: list[str], add_special: bool | None = None) -> list[Encoding]:
+        return self._pad_all([self._cut(self.bare(t, add_special)) for t in texts])
+
+    def encode_pair_batch(self, pairs: list[tuple[str, str]], add_special: bool | None = None, max_length: int | None = None, strategy: str | None = None) -> list[Encoding]:
+        made = [self.bare_pair(a, b, add_special, max_length, strategy) for a, b in pairs]
+        return self._pad_all([e if limited else self._cut(e) for e, limited in made])
+
+    # ids alone, with each chunk of a text segmented once a worker
+    @cached_property
+    def _parts(self) -> re.Pattern | None:
+        return re.compile("\u2581+[^\u2581]*|[^\u2581]+") if self.cuts_at_marks else None
+
+    @cached_property
+    def _memo(self) -> dict[str, list[int]]:
+        return {}
+
+    @cached_property
+    def _word_segmenter(self):
+        """Without fusing: that is for whole chunks."""
+        return algorithm(self.vocab, fuse=False, forward_bytes=self.forward_bytes) if self.vocab.trainer.model_type == "unigram" else self.segmenter
+
+    def _chunk_ids(self, chunk: str) -> list[int]:
+        out: list[int] = []
+        memo = self._memo
+        for part in self._parts.findall(chunk) if self._parts else (chunk,):
+            ids = memo.get(part)
+            if ids is None:
+                ids = self._word_segmenter.tokenize(part)
+                if len(part) <= MEMO_CHARS:
+                    if len(memo) >= MEMO_SIZE:
+                        memo.clear()
+                    memo[part] = ids
+            out += ids
+        return fuse_unknown(out, self.vocab.trainer.unk_id) if getattr(self.segmenter, "fuse", False) else out
+
     def ids(self, text: str) -> list[int]:
-        return [r[0] for r in self.rows(text)]
+        """Ids of a text without special tokens around it; the same as those of ``rows``."""
+        self.guard(text)
+        out, at = [], 0
+        for start, end, token in [*self.added_matches(text), (len(text), len(text), None)]:
+            if at < start:
+                for chunk in chunk_texts(self._normal.normalize(text[at:start]), self.pre_tokenizer):
+                    out += self._chunk_ids(chunk)
+            if token is not None:
+                out.append(token.id)
+            at = end
+        return out
 
     def tokenize(self, text: str) -> list[str]:
+        """E6"""
         return [r[1] for r in self.rows(text)]
 
     def decode(self, ids: list[int], skip_special: bool = True) -> str:
