@@ -32,6 +32,11 @@ def _each(of: Callable[[str], Column]) -> Column:
     return F.struct(*[of(f).cast(KINDS[f]).alias(f) for f in FIELDS])
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once a row: lambdas compute what they take from outside anew for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def empty() -> Column:
     """M2"""
     return _each(lambda f: F.array())
@@ -105,21 +110,28 @@ def with_truncation(enc: Column | str, max_length: Int, from_end: bool = True, k
         start = F.lit(1) if from_end else size - keep + 1
         return _each(lambda f: F.slice(enc[f], start, keep))
     mask = enc["special_tokens_mask"]
-    at = F.filter(F.transform(mask, lambda m, i: F.when(m == 0, i)), lambda i: i.isNotNull())
-    room = F.least(F.size(at), F.greatest(n - F.size(F.filter(mask, lambda m: m == 1)), F.lit(0)))
-    low = F.when(room > 0, F.get(at, F.lit(0) if from_end else F.size(at) - room))
-    high = F.when(room > 0, F.get(at, room - 1 if from_end else F.size(at) - 1))
-    kept = F.filter(F.transform(mask, lambda m, i: F.struct(i.alias("i"), (m == 1).alias("s"))), lambda x: x["s"] | F.coalesce((x["i"] >= low) & (x["i"] <= high), F.lit(False)))
     null = F.lit(None).cast("int")
 
-    def of(f: str) -> Column:
+    def bounds(at: Column) -> Column:
+        room = F.least(F.size(at), F.greatest(n - F.size(F.filter(mask, lambda m: m == 1)), F.lit(0)))
+        low = F.when(room > 0, F.get(at, F.lit(0) if from_end else F.size(at) - room))
+        high = F.when(room > 0, F.get(at, room - 1 if from_end else F.size(at) - 1))
+        return F.struct(F.coalesce(low, F.lit(0)).alias("low"), F.coalesce(high, F.lit(-1)).alias("high"))
+
+    def keep_between(b: Column) -> Column:
+        marked = F.transform(mask, lambda m, i: F.struct(i.alias("i"), (m == 1).alias("s")))
+        return F.filter(marked, lambda x: x["s"] | ((x["i"] >= b["low"]) & (x["i"] <= b["high"])))
+
+    def of(kept: Column, f: str) -> Column:
         if f == "attention_mask":
             return F.transform(kept, lambda x: F.lit(1))
         blank = {"offsets": _no_span(), "word_ids": null, "sequence_ids": null}.get(f)
         value = (lambda x: F.coalesce(F.get(enc[f], x["i"]), F.get(enc["type_ids"], x["i"]))) if f == "sequence_ids" else (lambda x: F.get(enc[f], x["i"]))
         return F.transform(kept, value if blank is None else lambda x: F.when(x["s"], blank).otherwise(value(x)))
 
-    cut = _each(of)
+    content_at = F.filter(F.transform(mask, lambda m, i: F.when(m == 0, i)), lambda i: i.isNotNull())
+    kept = let(let(content_at, bounds), keep_between)
+    cut = let(kept, lambda k: _each(lambda f: of(k, f)))
     return F.when(size <= n, enc.cast(SCHEMA)).otherwise(cut)
 
 
@@ -163,15 +175,14 @@ def merge(parts: Column, growing_offsets: bool = True) -> Column:
 
     spans, words = sums(F.transform(parts, span_end)), sums(F.transform(parts, word_end))
 
-    def moved(e: Column, i: Column) -> Column:
-        by = F.get(spans, i)
-        return F.transform(e["offsets"], lambda o: F.when((o["start"] == 0) & (o["end"] == 0), _no_span()).otherwise(F.struct((o["start"] + by).alias("start"), (o["end"] + by).alias("end"))))
+    def moved(e: Column, by: Column) -> Column:
+        return F.transform(e, lambda o: F.when((o["start"] == 0) & (o["end"] == 0), _no_span()).otherwise(F.struct((o["start"] + by).alias("start"), (o["end"] + by).alias("end"))))
 
     def of(f: str) -> Column:
         if f == "offsets" and growing_offsets:
-            return F.flatten(F.transform(parts, moved))
+            return F.flatten(F.zip_with(F.transform(parts, lambda e: e[f]), spans, moved))
         if f == "word_ids":
-            return F.flatten(F.transform(parts, lambda e, i: F.transform(e["word_ids"], lambda w: w + F.get(words, i))))
+            return F.flatten(F.zip_with(F.transform(parts, lambda e: e[f]), words, lambda w, by: F.transform(w, lambda x: x + by)))
         return F.flatten(F.transform(parts, lambda e: e[f]))
 
     return F.when(F.size(parts) == 1, F.get(parts, F.lit(0)).cast(SCHEMA)).otherwise(_each(of))
@@ -247,7 +258,7 @@ def n_sequences(enc: Column | str) -> Column:
 
 def fuse_unknown(ids: Column, unk: int) -> Column:
     """A8"""
-    return F.filter(ids, lambda x, i: (x != unk) | (i == 0) | (F.get(ids, i - 1) != unk))
+    return let(ids, lambda a: F.filter(a, lambda x, i: (x != unk) | (i == 0) | (F.get(a, i - 1) != unk)))
 
 
 def to_map(enc: Column | str) -> Column:

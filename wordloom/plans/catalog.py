@@ -137,7 +137,7 @@ def a4_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best paths of all distinct words of all documents."""
     tok = toy.tokenizer()
     words = F.explode(F.filter(F.split(F.coalesce("text", F.lit("")), f"[{textops._java(textops.SPACE)}]+"), lambda w: w != ""))
-    distinct = table(spark, sf_dir, "documents").select(F.concat(F.lit(MARK), words).alias("word")).distinct()
+    distinct = table(spark, sf_dir, "documents").select(words.alias("w")).distinct().select(F.concat(F.lit(MARK), "w").alias("word"))
     # the word stands for its normal form: the mark is already there
     bare = E.token_ids(F.regexp_replace("word", f"^{MARK}", ""), tok, False)
     return distinct.select("word", _join(bare).alias("ids"))
@@ -167,7 +167,7 @@ def a10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merges of all distinct words of all documents."""
     tok = toy.bpe()
     words = F.explode(F.filter(F.split(F.coalesce("text", F.lit("")), f"[{textops._java(textops.SPACE)}]+"), lambda w: w != ""))
-    distinct = table(spark, sf_dir, "documents").select(F.concat(F.lit(MARK), words).alias("word")).distinct()
+    distinct = table(spark, sf_dir, "documents").select(words.alias("w")).distinct().select(F.concat(F.lit(MARK), "w").alias("word"))
     return distinct.select("word", _join(E.token_ids(F.regexp_replace("word", f"^{MARK}", ""), tok, False)).alias("ids"))
 
 
@@ -279,8 +279,8 @@ def _pair_query(name: str, strategy: str, a: str, b: str) -> None:
 
     run.__name__ = name
     shown = "SELECT doc_id, a::BIGINT AS n_a, b::BIGINT AS n_b, '<s>' AS first"
-    full = "(SELECT doc_id, len(string_split(coalesce(source, ''), ' ')) + length(lang) * 20 + 2 AS full FROM documents)"
-    _query(f"{_PAIR_LENGTHS}, c AS (SELECT doc_id, {a} AS a, {b} AS b FROM l) {shown}, CASE WHEN b = full THEN '</s>' WHEN b = 1 THEN '<s>' WHEN b = 2 THEN source ELSE 'x' END AS last FROM c JOIN {full} USING (doc_id)")(run)
+    full = "(SELECT doc_id, source, len(string_split(coalesce(source, ''), ' ')) + length(lang) * 20 + 2 AS whole FROM documents)"
+    _query(f"{_PAIR_LENGTHS}, c AS (SELECT doc_id, {a} AS a, {b} AS b FROM l) {shown}, CASE WHEN b = whole THEN '</s>' WHEN b = 1 THEN '<s>' WHEN b = 2 THEN source ELSE 'x' END AS last FROM c JOIN {full} USING (doc_id)")(run)
 
 
 _EXCESS = "greatest(a + b - 60, 0)"
@@ -302,7 +302,7 @@ def m1_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select("conv_id", F.size(e["ids"]).cast("long").alias("size"), total(F.transform(e["offsets"], lambda o: o["start"])).alias("starts"), total(e["word_ids"]).alias("words"))
 
 
-@_query(f"{_ENCODED}, f AS (SELECT doc_id, e, list_position(list_transform(e.o, lambda x, i: e.q[i] = '0' AND split_part(x, ':', 1)::INT <= 31 AND 31 < split_part(x, ':', 2)::INT), true) AS k FROM e), g AS (SELECT doc_id, e, k, list_filter(range(1, len(e.i) + 1), lambda i: e.q[i] = '0' AND e.w[i] = '3') AS at FROM f) SELECT doc_id, (k - 1)::INTEGER AS char_token, CASE WHEN e.w[k] <> '-' THEN e.w[k]::INTEGER END AS char_word, CASE WHEN len(e.o) > 2 THEN e.o[3] END AS token_chars, CASE WHEN e.w[3] <> '-' THEN e.w[3]::INTEGER END AS token_word, CASE WHEN e.q[3] <> '-' THEN e.q[3]::INTEGER END AS token_sequence, CASE WHEN len(at) > 0 THEN list_min(list_transform(at, lambda i: split_part(e.o[i], ':', 1)::INT))::VARCHAR || ':' || list_max(list_transform(at, lambda i: split_part(e.o[i], ':', 2)::INT))::VARCHAR END AS word_chars, CASE WHEN len(at) > 0 THEN (at[1] - 1)::VARCHAR || ':' || at[-1]::VARCHAR END AS word_tokens, 1 AS n_sequences, len(e.i)::INTEGER AS size FROM g".replace("CASE WHEN len(e.o) > 2 THEN e.o[3] END", "CASE WHEN e.m[3] = 1 THEN NULL ELSE e.o[3] END"))
+@_query(f"{_ENCODED}, f AS (SELECT doc_id, e, list_position(list_transform(e.o, lambda x, i: e.q[i] = '0' AND split_part(x, ':', 1)::INT <= 31 AND 31 < split_part(x, ':', 2)::INT), true) AS k FROM e), g AS (SELECT doc_id, e, k, list_filter(range(1, len(e.i) + 1), lambda i: e.q[i] = '0' AND e.w[i] = '3') AS found FROM f) SELECT doc_id, (k - 1)::INTEGER AS char_token, CASE WHEN e.w[k] <> '-' THEN e.w[k]::INTEGER END AS char_word, CASE WHEN len(e.o) > 2 THEN e.o[3] END AS token_chars, CASE WHEN e.w[3] <> '-' THEN e.w[3]::INTEGER END AS token_word, CASE WHEN e.q[3] <> '-' THEN e.q[3]::INTEGER END AS token_sequence, CASE WHEN len(found) > 0 THEN list_min(list_transform(found, lambda i: split_part(e.o[i], ':', 1)::INT))::VARCHAR || ':' || list_max(list_transform(found, lambda i: split_part(e.o[i], ':', 2)::INT))::VARCHAR END AS word_chars, CASE WHEN len(found) > 0 THEN (found[1] - 1)::VARCHAR || ':' || found[-1]::VARCHAR END AS word_tokens, 1 AS n_sequences, len(e.i)::INTEGER AS size FROM g".replace("CASE WHEN len(e.o) > 2 THEN e.o[3] END", "CASE WHEN e.m[3] = 1 THEN NULL ELSE e.o[3] END"))
 def c_index_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C1 to C8 at fixed places of each text's encoding."""
     made = _documents(spark, sf_dir, _encoding(F.col("text")).alias("e"))
