@@ -112,3 +112,15 @@ def test_trees_column_is_predict(spark):
     rows = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], ["i", *url_filter.FEATURES])
     got = dict(map(tuple, rows.select("i", trees.column()).collect()))
     assert np.allclose([got[i] for i in range(300)], trees.predict(x))
+
+
+def test_bounded_sample_is_that_of_smallest_hashes(spark):
+    from pyspark.sql import functions as F
+
+    from wordloom.llm.common import in_hash_order, smallest_hashes
+
+    df = spark.range(20_000).select(F.col("id").cast("string").alias("url"))
+    near = smallest_hashes(df, ["url"], 500)
+    assert 500 <= near.count() <= 1000
+    assert [r[0] for r in near.orderBy(*in_hash_order(["url"])).limit(500).collect()] == [r[0] for r in df.orderBy(*in_hash_order(["url"])).limit(500).collect()]
+    assert smallest_hashes(df, ["url"], 15_000).count() == 20_000

@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import materialize, text_of
+from wordloom.llm.common import in_hash_order, materialize, smallest_hashes, text_of
 
 SAMPLE = 20_000
 MIN_WORDS = 50
@@ -151,8 +151,9 @@ def describe(rules: list[list[Condition]]) -> list[str]:
 
 def fit(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[list[Condition]]:
     """Rules from labels (doc_id, quality) of documents in stats; a bounded sample reaches the driver."""
-    known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    known = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
+    near = smallest_hashes(known, ["doc_id"], sample).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    chosen = near.orderBy(*in_hash_order(["doc_id"])).limit(sample)
     rows = stats.where(f"n_words >= {MIN_WORDS}").join(chosen, "doc_id").select("doc_id", *FEATURES, "quality").collect()
     rows.sort()
     return learn([(tuple(r[1:-1]), r[-1] == 0) for r in rows])

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import ASCII_LOWER, ASCII_UPPER
+from wordloom.llm.common import ASCII_LOWER, ASCII_UPPER, in_hash_order, smallest_hashes
 
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 SPAM_WORDS = ("adult", "ads", "bet", "bets", "bingo", "casino", "cheap", "dating", "escort", "free", "gambling", "loan", "loans", "lottery", "pharma", "pills", "poker", "porn", "sex", "slots", "spam", "viagra", "warez", "win", "xxx")
@@ -156,8 +156,8 @@ class UrlModel:
 
 def train(labelled: DataFrame, sample: int = SAMPLE) -> UrlModel:
     """From labelled (url, host, path, blocked); the sample is of distinct URLs and reaches the driver."""
-    distinct = labelled.groupBy("url", "host", "path").agg(F.max("blocked").alias("blocked"))
-    chosen = distinct.orderBy(F.xxhash64("url"), "url").limit(sample)
+    distinct = smallest_hashes(labelled, ["url"], sample).groupBy("url", "host", "path").agg(F.max("blocked").alias("blocked"))
+    chosen = distinct.orderBy(*in_hash_order(["url"])).limit(sample)
     return UrlModel(with_features(chosen).select(*FEATURES[:-1], "suffix", F.col("blocked").cast("int")).collect())
 
 
