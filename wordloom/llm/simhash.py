@@ -9,8 +9,8 @@ most 2 errors in one of them, and then shares a codeword key there.  So a
 fingerprint has 10 times 1 or 6 keys (part, its bits, segment, codeword), and
 pairs with a common key are verified on all 64 bits.
 
-Only distinct fingerprints are compared.  A bucket of one key emits a spanning
-forest of its links, never all pairs.  Members of a bucket of over ``max_bucket``
+Only distinct fingerprints are compared.  A task emits a spanning forest of the
+links in its buckets, never all pairs.  Members of a bucket of over ``max_bucket``
 fingerprints go another exact way: all words within 2 bits of each, grouped;
 fingerprints that share such a word are within 4 bits, and those within 4 bits
 share one.
@@ -41,6 +41,8 @@ from wordloom.llm.components import connected_components
 from wordloom.llm.windows import mix
 
 MAX_BUCKET = 4096
+#: Fingerprints that a task remembers as joined.
+FOREST = 1_000_000
 #: Words of a fingerprint where texts of 0.8 or more shared shingles are sought: one word alone finds few of them.
 WORDS = 6
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -165,8 +167,35 @@ def _runs(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[np.nd
         yield key, fp, False
 
 
+class _Forest:
+    """Which fingerprints a task has already joined; a link between two of them says nothing new."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def _top(self, x: int) -> int:
+        up = self.up
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = up[y]
+            x = up[x]
+        return x
+
+    def new(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """A mask of the links that join two parts; what is forgotten beyond the bound is only sent again."""
+        if len(self.up) > FOREST:
+            self.up.clear()
+        out = np.zeros(len(a), bool)
+        for i, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+            x, y = self._top(x), self._top(y)
+            if x != y:
+                self.up[x] = y
+                out[i] = True
+        return out
+
+
 def _links(distance: int, max_bucket: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = _Forest()
         for key, fp, huge in _runs(batches, max_bucket):
             if huge:
                 yield _pairs(fp, fp)
@@ -190,8 +219,10 @@ def _links(distance: int, max_bucket: int):
                     a.append(x[:, 0])
                     b.append(x[:, 1])
             if a and sum(map(len, a)):
-                both = np.unique(np.stack((np.concatenate(a), np.concatenate(b))), axis=1)
-                yield _pairs(both[0], both[1])
+                a, b = np.concatenate(a), np.concatenate(b)
+                fresh = forest.new(a, b)
+                if fresh.any():
+                    yield _pairs(a[fresh], b[fresh])
 
     return emit
 
