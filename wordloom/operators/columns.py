@@ -75,7 +75,7 @@ def with_padding(enc: Column | str, target: Int, pad_id: int, pad_token: str = "
         pad = F.array_repeat(fill[f], missing)
         return F.concat(enc[f], pad) if right else F.concat(pad, enc[f])
 
-    return _each(of)
+    return F.when(enc.isNotNull(), _each(of))
 
 
 def pad_to_multiple(enc: Column | str, multiple: int, pad_id: int, pad_token: str = "[PAD]", right: bool = True, pad_type_id: int = 0) -> Column:
@@ -108,7 +108,7 @@ def with_truncation(enc: Column | str, max_length: Int, from_end: bool = True, k
     if not keep_special:
         keep = F.least(size, n)
         start = F.lit(1) if from_end else size - keep + 1
-        return _each(lambda f: F.slice(enc[f], start, keep))
+        return F.when(enc.isNotNull(), _each(lambda f: F.slice(enc[f], start, keep)))
     mask = enc["special_tokens_mask"]
     null = F.lit(None).cast("int")
 
@@ -132,7 +132,7 @@ def with_truncation(enc: Column | str, max_length: Int, from_end: bool = True, k
     content_at = F.filter(F.transform(mask, lambda m, i: F.when(m == 0, i)), lambda i: i.isNotNull())
     kept = let(let(content_at, bounds), keep_between)
     cut = let(kept, lambda k: _each(lambda f: of(k, f)))
-    return F.when(size <= n, enc.cast(SCHEMA)).otherwise(cut)
+    return F.when(enc.isNull() | (size <= n), enc.cast(SCHEMA)).otherwise(cut)
 
 
 def pair_lengths(a: Column, b: Column, room: Column, strategy: str) -> tuple[Column, Column]:

@@ -80,6 +80,7 @@ class Charsmap:
                 node = node.setdefault(b, {})
             node[-1] = place[value]
         units, taken = [0] * 256, [True] + [False] * 255
+        bases: set[int] = set()  # units name no parent, so that no two nodes may share one
 
         def room(n: int) -> None:
             while len(units) < n:
@@ -91,7 +92,8 @@ class Charsmap:
             base = 1
             while True:
                 room((base | 255) + 1)
-                if not any(taken[base ^ c] for c in labels) and _fits(at ^ base):
+                if base not in bases and not any(taken[base ^ c] for c in labels) and _fits(at ^ base):
+                    bases.add(base)
                     break
                 base += 1
             for c in labels:
