@@ -1,7 +1,7 @@
 """A document pipeline of five operators of wordloom.llm: from raw documents to packed training sequences.
 
 Each stage takes (spark, docs, sf_dir); all but the last return the columns of
-``documents``.  The order: quality rules, SimHash near-dedup (one document of
+``documents``.  The order: quality rules, near-dedup by verified shingle similarity (one document of
 each group stays, that with the smallest doc_id), suffix-array dedup (covered
 bytes go from the text), benchmark decontamination (documents that hold an
 item go), packing.
@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wordloom.llm import decontaminate, packing, quality_rules, simhash, suffix_dedup
+from wordloom.llm import decontaminate, near_texts, packing, quality_rules, suffix_dedup
 from wordloom.llm.common import materialize, table
 
 
@@ -20,7 +20,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_first(docs)
+    return near_texts.keep_first(docs)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
