@@ -36,6 +36,8 @@ from wordloom.llm.windows import mix, prefix_sums, rolling, runs, span_hash
 
 KGRAM = 64
 BATCH = 2_000_000
+#: Runs that a task settles at once, and those of one anchor group from which on it is settled in parts.
+RUN_ROWS, HUGE_ROWS = 400_000, 2_000_000
 MAX_GROUP = 4_000_000
 _SEEN = 500_000
 RUN_SCHEMA = "h long, c long, _k long, _k2 int, s int, n int"
@@ -77,12 +79,13 @@ def _batch(cols: list[list[np.ndarray]], names: tuple[str, ...]) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in cols], names=list(names))
 
 
-def _settle_runs(min_len: int):
-    """Rows arrive sorted by (h, c, _k, _k2, s); groups are kept together up to a bound."""
+def _settle_runs(min_len: int, run_rows: int = RUN_ROWS, huge_rows: int = HUGE_ROWS):
+    """Rows arrive sorted by (h, c, _k, _k2, s); groups are kept together up to ``huge_rows``."""
 
-    def of(t: dict[str, np.ndarray]) -> pa.RecordBatch | None:
+    def of(t: dict[str, np.ndarray], parted: int | None) -> pa.RecordBatch | None:
+        """Whole groups; of the group ``parted`` only the rest, of which each class is shown to step 3."""
         h, c, k, k2, s, n = (t[x] for x in ("h", "c", "_k", "_k2", "s", "n"))
-        if len(h) < 2:
+        if len(h) < 2 and h[0] != parted:
             return None
         fresh_h = np.concatenate(([True], h[1:] != h[:-1]))
         fresh_c = fresh_h | np.concatenate(([True], c[1:] != c[:-1]))
@@ -93,6 +96,8 @@ def _settle_runs(min_len: int):
         classes = np.bincount(group_of_class)[group_of_class]
         covered = (members[cls] > 1) & ~twice
         unclear = fresh_c & (classes[cls] > 1)
+        if parted is not None:
+            unclear |= fresh_c & (h == parted)
         out = []
         for kind, mask in ((0, covered), (1, unclear)):
             m = np.flatnonzero(mask)
@@ -103,27 +108,28 @@ def _settle_runs(min_len: int):
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("h", "c", "_k", "_k2", "s", "n")
         kept: list[dict[str, np.ndarray]] = []
-        size = 0
+        size, parted = 0, None
         for batch in batches:
             kept.append({x: batch.column(i).to_numpy(zero_copy_only=False) for i, x in enumerate(names)})
             size += batch.num_rows
-            if size < 400_000:
+            if size < run_rows:
                 continue
             t = {x: np.concatenate([y[x] for y in kept]) for x in names}
             cut = int(np.searchsorted(t["h"], t["h"][-1]))  # the last group may go on
-            if cut == 0 and size > 2_000_000:
+            if cut == 0 and size > huge_rows:
                 # a huge group: whole classes of it are settled on their own, each shown to step 3
                 cut = int(np.searchsorted(t["c"], t["c"][-1]))
                 if cut == 0:
                     cut = size - 1  # one class: its last row stays to meet the next ones
+                parted = t["h"][0]
                 yield from _huge(t, cut, min_len)
-            elif cut and (found := of({x: y[:cut] for x, y in t.items()})) is not None:
+            elif cut and (found := of({x: y[:cut] for x, y in t.items()}, parted)) is not None:
                 yield found
             kept = [{x: y[cut:] for x, y in t.items()}]
             size -= cut
         if size:
             t = {x: np.concatenate([y[x] for y in kept]) for x in names}
-            if (found := of(t)) is not None:
+            if (found := of(t, parted)) is not None:
                 yield found
 
     return settle
@@ -281,7 +287,7 @@ def _settled(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names=["_k", "_k2", "s", "e", "w", "v"])
 
 
-def repeated_spans(docs: DataFrame, text: str = "text", min_len: int = 200, kgram: int = KGRAM, batch_bytes: int = BATCH, max_group: int = MAX_GROUP) -> DataFrame:
+def repeated_spans(docs: DataFrame, text: str = "text", min_len: int = 200, kgram: int = KGRAM, batch_bytes: int = BATCH, max_group: int = MAX_GROUP, run_rows: int = RUN_ROWS, huge_rows: int = HUGE_ROWS) -> DataFrame:
     """(_k, _k2, spans): for each distinct text with repeats inside or in other distinct texts, its covered byte spans.
 
     Spans may touch or overlap; texts are named by ``common.content_key``.
@@ -294,7 +300,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", min_len: int = 200, kgra
         texts.mapInArrow(_runs_of(min_len, kgram), RUN_SCHEMA)
         .repartition("h")
         .sortWithinPartitions("h", "c", "_k", "_k2", "s")
-        .mapInArrow(_settle_runs(min_len), FOUND_SCHEMA)
+        .mapInArrow(_settle_runs(min_len, run_rows, huge_rows), FOUND_SCHEMA)
     )
     found = materialize(found, "runs")
     asked = found.where("kind = 1").groupBy("_k", "_k2").agg(F.collect_list(F.struct("h", "s", F.col("e").alias("n"))).alias("parts"))
