@@ -2,8 +2,8 @@
 
 Texts and items are compared over their letters and digits, lower-cased, with
 every run of other characters as one space.  An item of n characters has an
-error budget of n // ``chars_per_error`` edits (at most ``max_errors``).  It is
-split into budget + 1 pieces, of which any place that matches within the
+error budget of n // ``chars_per_error`` edits, whatever its length (a caller
+may set a bound, ``max_errors``).  It is split into budget + 1 pieces, of which any place that matches within the
 budget holds one unchanged; all pieces of a block of items are found by one
 Aho-Corasick pass over each whole text, and the place around a hit is verified
 with Myers' bit-parallel edit distance.
@@ -30,7 +30,6 @@ from pyspark.sql import functions as F
 from wordloom.llm.common import text_of
 
 CHARS_PER_ERROR = 16
-MAX_ERRORS = 64
 BLOCK_CHARS = 4_000_000
 _SCHEMA = "doc_id long, item_id long, distance int, item_chars int, end_char long"
 _KINDS = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
@@ -42,8 +41,9 @@ def normalised(text: str) -> str:
     return _OTHER.sub(" ", text.lower()).strip()
 
 
-def budget(item: str, chars_per_error: int = CHARS_PER_ERROR, max_errors: int = MAX_ERRORS) -> int:
-    return min(max_errors, len(item) // chars_per_error)
+def budget(item: str, chars_per_error: int = CHARS_PER_ERROR, max_errors: int | None = None) -> int:
+    errors = len(item) // chars_per_error
+    return errors if max_errors is None else min(max_errors, errors)
 
 
 def pieces(item: str, errors: int) -> list[tuple[int, str]]:
@@ -86,7 +86,7 @@ def myers(masks: dict[str, int], m: int, text: str, errors: int) -> tuple[int, i
 class Matcher:
     """All items of one block."""
 
-    def __init__(self, items: list[tuple[int, str]], chars_per_error: int, max_errors: int):
+    def __init__(self, items: list[tuple[int, str]], chars_per_error: int, max_errors: int | None = None):
         self.items, self.masks = [], {}
         found: dict[str, list[tuple[int, int]]] = {}
         for item_id, raw in items:
@@ -150,7 +150,7 @@ def _blocks(items: DataFrame, block_chars: int) -> Iterator[list[tuple[int, str]
         yield block
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, chars_per_error: int = CHARS_PER_ERROR, max_errors: int = MAX_ERRORS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, chars_per_error: int = CHARS_PER_ERROR, max_errors: int | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, item_id, distance, item_chars, end_char for every text of docs (doc_id, text) and item (item_id, text) that match.
 
     distance is the smallest over the text; end_char is where that place ends in the normalised text.
@@ -172,7 +172,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, chars_per_error: int = CHARS_P
     return out
 
 
-def drop_leaks(docs: DataFrame, items: DataFrame, chars_per_error: int = CHARS_PER_ERROR, max_errors: int = MAX_ERRORS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def drop_leaks(docs: DataFrame, items: DataFrame, chars_per_error: int = CHARS_PER_ERROR, max_errors: int | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """docs (all columns) without the rows whose text holds an item; nothing is shuffled."""
     at = docs.columns.index("text")
     for block in _blocks(items, block_chars):
