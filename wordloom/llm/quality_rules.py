@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import in_hash_order, materialize, smallest_hashes, text_of
+from wordloom.llm.common import content_key, in_hash_order, materialize, smallest_hashes, text_of
 
 SAMPLE = 20_000
 MIN_WORDS = 50
@@ -33,12 +33,13 @@ _SPACE = r"[ \t-\r]+"
 FEATURES = ("word_len", "symbols_a_word", "dup_lines_a_word", "repeated", "upper_a_char", "marks_a_word", "pipes_a_word", "digits_a_char")
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and the features of each row of docs (doc_id, text)."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("t"))
-    words = own.select("doc_id", "t", F.array_remove(F.split("t", _SPACE), "").alias("w"))
+def statistics(docs: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, the features and the columns ``also`` of each row of docs (doc_id, text)."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *also, text_of().alias("t"))
+    words = own.select("doc_id", *also, "t", F.array_remove(F.split("t", _SPACE), "").alias("w"))
     counted = words.select(
         "doc_id",
+        *also,
         "w",
         F.size("w").cast("long").alias("n_words"),
         F.char_length(F.array_join("w", "")).cast("long").alias("word_chars"),
@@ -70,7 +71,7 @@ def statistics(docs: DataFrame) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         (F.col("word_chars") / n).alias("word_len"), (F.col("n_symbols") / n).alias("symbols_a_word"), (F.col("n_dup_lines") / n).alias("dup_lines_a_word"),
         (F.col("n_repeat_words") / n).alias("repeated"), (F.col("upper") / chars).alias("upper_a_char"), (F.col("marks") / n).alias("marks_a_word"),
-        (F.col("pipes") / n).alias("pipes_a_word"), (F.col("digits") / chars).alias("digits_a_char"),
+        (F.col("pipes") / n).alias("pipes_a_word"), (F.col("digits") / chars).alias("digits_a_char"), *also,
     )
 
 
@@ -159,19 +160,23 @@ def fit(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[list[
     return learn([(tuple(r[1:-1]), r[-1] == 0) for r in rows])
 
 
-def judge(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, rule of each row of docs."""
-    stats = materialize(statistics(docs), "statistics")
+def judge(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, also: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, rule and the columns ``also`` of each row of docs."""
+    stats = materialize(statistics(docs, also), "statistics")
     rules = fit(stats, labels, sample)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = stats.select("*", failed.alias("base_failed"), verdict(rules).alias("rule"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.col("rule").isNull()).alias("kept"), "rule")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.col("rule").isNull()).alias("kept"), "rule", *also)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """docs (all columns) without the rows that the rules reject.
 
-    Rows that share a doc_id are judged on their own texts, but stay only if all of them are kept.
+    Each row is judged on its own text, whatever other rows have its doc_id or have none.
     """
-    bad = judge(docs.select("doc_id", "text"), labels, sample).where("not kept").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad"]), "left_anti")
+    keys = content_key(text_of())
+    own = docs.withColumns({"__k": keys[0], "__k2": keys[1]})
+    bad = judge(own.select("doc_id", "text", "__k", "__k2"), labels, sample, ("__k", "__k2")).where("not kept")
+    bad = bad.select(F.col("doc_id").alias("__bad"), F.col("__k").alias("__b"), F.col("__k2").alias("__b2")).distinct()
+    same = own["doc_id"].eqNullSafe(bad["__bad"]) & (own["__k"] == bad["__b"]) & (own["__k2"] == bad["__b2"])
+    return own.join(bad, same, "left_anti").select(*[F.col(f"`{x}`") for x in docs.columns])
