@@ -9,8 +9,12 @@ often as the counts allow.  Rests are then numbered within their length in
 two steps (inside buckets of a hash, then buckets by their counts), and the
 number picks the sequence and the place in it.
 
-Null text is empty and still has its end id.  Repeated rows are packed apiece.
-Every id lies in exactly one piece.
+Null text is empty and still has its end id.  Repeated rows, also of one
+doc_id, are packed apiece; which of equal rows takes which place is open, as
+nothing tells them apart.  Of multisets that fill a window as well, the one
+with the longest lengths is taken.  An empty table gives an empty table.
+Only doc_id and text are read, whatever other columns are named.  Every id
+lies in exactly one piece.
 """
 
 from __future__ import annotations
@@ -19,14 +23,17 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordloom.llm.common import materialize, text_of
-from wordloom.llm.tokens import WordEncoder, default_path
+from wordloom.llm.tokens import default_path, word_encoder
 
 WINDOW = 4096
 END = (2).to_bytes(4, "little")
+#: Text that a worker encodes at once.
+SLICE_BYTES = 16_000_000
 #: Buckets of a length in the numbering: no task sees a length whole.
 SALTS = 512
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, salt int"
@@ -81,21 +88,34 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[in
     return out
 
 
+def _slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """(start, length) of runs of texts of about ``most`` bytes together; a longer text is one run."""
+    sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+    start, held = 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if held and held + n > most:
+            yield start, i - start
+            start, held = i, 0
+        held += n
+    yield start, len(sizes) - start
+
+
 def _cut(vocabulary: str, window: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(vocabulary)
+        encoder = word_encoder(vocabulary)
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
-        for batch in batches:
-            rows = []
-            ids = encoder.encode(batch.column(1).to_pylist())
-            for doc, salt, data in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), ids):
-                data += END
-                n = len(data) // 4
-                for at in range(0, n, window):
-                    part = data[4 * at : 4 * (at + window)]
-                    rows.append((doc, at, len(part) // 4, zlib.crc32(part), n, salt))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "salt"])
+        for whole in batches:
+            for first, count in _slices(whole.column(1)):
+                batch, rows = whole.slice(first, count), []
+                for doc, salt, ids in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), encoder.encode(batch.column(1))):
+                    n = len(ids) + 1
+                    for at in range(0, n, window):
+                        part = ids[at : at + window]
+                        crc = zlib.crc32(part)
+                        last = at + window >= n
+                        rows.append((doc, at, len(part) + last, zlib.crc32(END, crc) if last else crc, n, salt))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "salt"])
 
     return emit
 
