@@ -3,7 +3,7 @@
 import random
 
 #: Extra columns under names that operators use inside.
-CLASH = ("_k", "_k2", "_t", "_n", "spans", "_head", "_bad", "fp", "key", "label", "score", "host", "shard", "rank", "where", "w", "h", "n_words", "salt", "digest", "path", "component_id", "rule", "b0", "length")
+CLASH = ("_k", "_k2", "_t", "_n", "spans", "_head", "_bad", "fp", "key", "label", "score", "host", "shard", "rank", "where", "w", "h", "n_words", "salt", "digest", "path", "component_id", "rule", "b0", "length", "__copies", "__spans", "__k", "__k2", "__id", "__row", "__none", "__bad", "__b", "_key", "___k")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{x} string" for x in CLASH)
 
 

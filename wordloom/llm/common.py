@@ -34,6 +34,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, behind as many underscores as it takes to be none of df's columns, in any case."""
+    taken, front = {c.lower() for c in df.columns}, "__"
+    while any((front + n).lower() in taken for n in names):
+        front += "_"
+    return [front + n for n in names]
+
+
 def smallest_hashes(df: DataFrame, keys: list[str], sample: int) -> DataFrame:
     """Rows that hold all of the ``sample`` keys of smallest hash, and few others: what is then ordered and cut is bounded at any size."""
     h = F.xxhash64(*keys).bitwiseAND(2**62 - 1)

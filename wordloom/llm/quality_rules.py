@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import content_key, in_hash_order, materialize, smallest_hashes, text_of
+from wordloom.llm.common import content_key, in_hash_order, materialize, smallest_hashes, text_of, unused
 
 SAMPLE = 20_000
 MIN_WORDS = 50
@@ -175,8 +175,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataF
     Each row is judged on its own text, whatever other rows have its doc_id or have none.
     """
     keys = content_key(text_of())
-    own = docs.withColumns({"__k": keys[0], "__k2": keys[1]})
-    bad = judge(own.select("doc_id", "text", "__k", "__k2"), labels, sample, ("__k", "__k2")).where("not kept")
-    bad = bad.select(F.col("doc_id").alias("__bad"), F.col("__k").alias("__b"), F.col("__k2").alias("__b2")).distinct()
-    same = own["doc_id"].eqNullSafe(bad["__bad"]) & (own["__k"] == bad["__b"]) & (own["__k2"] == bad["__b2"])
+    k, k2, bad_id, bad_k, bad_k2 = unused(docs, "k", "k2", "bad", "b", "b2")
+    own = docs.withColumns({k: keys[0], k2: keys[1]})
+    bad = judge(own.select("doc_id", "text", F.col(k).alias("_key"), F.col(k2).alias("_key2")), labels, sample, ("_key", "_key2")).where("not kept")
+    bad = bad.select(F.col("doc_id").alias(bad_id), F.col("_key").alias(bad_k), F.col("_key2").alias(bad_k2)).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(bad_id)) & (F.col(k) == F.col(bad_k)) & (F.col(k2) == F.col(bad_k2))
     return own.join(bad, same, "left_anti").select(*[F.col(f"`{x}`") for x in docs.columns])

@@ -4,12 +4,15 @@ Texts are UTF-8 bytes and matches never cross texts.  Four steps, all linear:
 
 1. Each distinct text is cut into runs of windows with the same canonical
    anchor (see ``windows``); equal windows always meet in one anchor group.
+   Runs over equal bytes that meet in one task cover each other at once, and
+   one of them goes on.
 2. Grouped by anchor: two runs over equal bytes cover each other; runs that
    differ from the others of their group only at an edge are left to step 3.
 3. Their bytes are fetched, and each group goes through the threshold-bounded
    interval expansion on a Burrows-Wheeler transform (``bwt``).  A group whose
-   bytes pass ``max_group`` is settled by hashes of its windows, grouped in
-   Spark, instead: the same answer, without a bound on the group.
+   bytes pass ``max_group`` is not brought together: its windows are dealt out
+   by hashes of their own bytes and counted, the same answer without a bound
+   on the group.
 4. Covered spans are merged per text and cut out.
 
 Equality of runs (steps 1, 2) and of windows (large groups) goes by 64-bit
@@ -17,7 +20,9 @@ anchor hashes together with 64-bit content hashes.
 
 Null text is empty; texts shorter than ``min_len`` lose nothing; a text that
 stands in two rows or more (the same doc_id twice included) and has
-``min_len`` bytes loses all of them.  An empty table gives an empty table.
+``min_len`` bytes loses all of them.  Of equal strings none is spared, so no
+order of rows matters.  An empty table gives an empty table; columns of any
+name pass through ``drop_repeats``.
 """
 
 from __future__ import annotations
@@ -31,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.llm.bwt import repeated_starts
-from wordloom.llm.common import content_key, materialize, text_of
+from wordloom.llm.common import content_key, materialize, text_of, unused
 from wordloom.llm.windows import mix, prefix_sums, rolling, runs, span_hash
 
 KGRAM = 64
@@ -43,7 +48,8 @@ _SEEN = 500_000
 RUN_SCHEMA = "h long, c long, _k long, _k2 int, s int, n int"
 FOUND_SCHEMA = "kind int, _k long, _k2 int, s int, e int, h long"
 CONTEXT_SCHEMA = "h long, _k long, _k2 int, s int, n int, b binary"
-SETTLED_SCHEMA = "_k long, _k2 int, s int, e int, w long, v long"
+SETTLED_SCHEMA = "_k long, _k2 int, s int, e int"
+WINDOW_SCHEMA = "_k long, _k2 int, s int, w long, v long"
 
 
 def _unsigned(a: np.ndarray) -> np.ndarray:
@@ -67,20 +73,42 @@ def _runs_of(min_len: int, kgram: int):
                     col.append(x)
                 size += len(h)
                 if size > 200_000:
-                    yield _batch(cols, ("h", "c", "_k", "_k2", "s", "n"))
+                    yield _joined_runs(*map(np.concatenate, cols))
                     cols, size = [[] for _ in range(6)], 0
             if size:
-                yield _batch(cols, ("h", "c", "_k", "_k2", "s", "n"))
+                yield _joined_runs(*map(np.concatenate, cols))
 
     return emit
 
 
-def _batch(cols: list[list[np.ndarray]], names: tuple[str, ...]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in cols], names=list(names))
-
-
-def _settle_runs(min_len: int, run_rows: int = RUN_ROWS, huge_rows: int = HUGE_ROWS):
-    """Rows arrive sorted by (h, c, _k, _k2, s); groups are kept together up to ``huge_rows``."""
+def _joined_runs(h: np.ndarray, c: np.ndarray, k: np.ndarray, k2: np.ndarray, s: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """The runs with one of each class (h, c).  Runs of a class with two places or more are all covered: they follow
+    with n negative, dealt out by their texts and not by their anchor."""
+    key = mix(h.view(np.uint64)) ^ c.view(np.uint64)
+    order = np.argsort(key, kind="stable")
+    same = key[order][1:] == key[order][:-1]
+    tied = order[np.concatenate(([False], same)) | np.concatenate((same, [False]))]
+    tied = tied[np.lexsort((s[tied], k2[tied], k[tied], c[tied], h[tied]))]
+    keep, done = np.ones(len(h), bool), np.zeros(0, np.int64)
+    if len(tied):
+        fresh = np.concatenate(([True], (h[tied][1:] != h[tied][:-1]) | (c[tied][1:] != c[tied][:-1])))
+        place = fresh | np.concatenate(([True], (k[tied][1:] != k[tied][:-1]) | (k2[tied][1:] != k2[tied][:-1]) | (s[tied][1:] != s[tied][:-1])))
+        keep[tied[~fresh]] = False
+        cls = np.cumsum(fresh) - 1
+        done = tied[place & (np.bincount(cls, weights=place)[cls] > 1)]
+    live = np.flatnonzero(keep)
+    both = np.concatenate((live, done))
+    deal = np.concatenate((h[live], mix(k[done].view(np.uint64) + s[done].astype(np.uint64)).view(np.int64)))
+    size = np.concatenate((n[live], -n[done]))
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (deal, c[both], k[both], k2[both], s[both], size)], names=["h", "c", "_k", "_k2", "s", "n"])
+
+
+def _settle_runs(min_len: int, run_rows: int = RUN_ROWS, huge_rows: int = HUGE_ROWS, max_group: int = MAX_GROUP):
+    """Rows arrive sorted by (h, c, _k, _k2, s); groups are kept together up to ``huge_rows``.
+
+    Rows out: covered runs (kind 0), and a run of each class that step 3 must see, in groups of up to ``max_group``
+    bytes (kind 1) and in larger ones (kind 2).
+    """
 
     def of(t: dict[str, np.ndarray], parted: int | None) -> pa.RecordBatch | None:
         """Whole groups; of the group ``parted`` only the rest, of which each class is shown to step 3."""
@@ -96,10 +124,13 @@ def _settle_runs(min_len: int, run_rows: int = RUN_ROWS, huge_rows: int = HUGE_R
         classes = np.bincount(group_of_class)[group_of_class]
         covered = (members[cls] > 1) & ~twice
         unclear = fresh_c & (classes[cls] > 1)
+        group = np.cumsum(fresh_h) - 1
+        large = np.bincount(group, weights=unclear * (n + min_len))[group] > max_group
         if parted is not None:
             unclear |= fresh_c & (h == parted)
+            large |= h == parted
         out = []
-        for kind, mask in ((0, covered), (1, unclear)):
+        for kind, mask in ((0, covered), (1, unclear & ~large), (2, unclear & large)):
             m = np.flatnonzero(mask)
             e = s[m] + n[m] - 1 + min_len if kind == 0 else n[m]
             out.append((np.full(len(m), kind, np.int32), k[m], k2[m], s[m], e.astype(np.int32), h[m]))
@@ -110,8 +141,15 @@ def _settle_runs(min_len: int, run_rows: int = RUN_ROWS, huge_rows: int = HUGE_R
         kept: list[dict[str, np.ndarray]] = []
         size, parted = 0, None
         for batch in batches:
-            kept.append({x: batch.column(i).to_numpy(zero_copy_only=False) for i, x in enumerate(names)})
-            size += batch.num_rows
+            rows = {x: batch.column(i).to_numpy(zero_copy_only=False) for i, x in enumerate(names)}
+            done = np.flatnonzero(rows["n"] < 0)
+            if len(done):
+                k, k2, s, n, h = (rows[x][done] for x in ("_k", "_k2", "s", "n", "h"))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.zeros(len(done), np.int32), k, k2, s, (s - n - 1 + min_len).astype(np.int32), h)], names=["kind", "_k", "_k2", "s", "e", "h"])
+                live = rows["n"] > 0
+                rows = {x: y[live] for x, y in rows.items()}
+            kept.append(rows)
+            size += len(rows["n"])
             if size < run_rows:
                 continue
             t = {x: np.concatenate([y[x] for y in kept]) for x in names}
@@ -142,7 +180,7 @@ def _huge(t: dict[str, np.ndarray], cut: int, min_len: int) -> Iterator[pa.Recor
     cls = np.cumsum(fresh) - 1
     other = np.concatenate(([False], (k[1:] != k[:-1]) | (k2[1:] != k2[:-1]) | (s[1:] != s[:-1]))) & ~fresh
     covered = (np.bincount(cls, weights=other) > 0)[cls]
-    for kind, mask in ((0, covered), (1, fresh)):
+    for kind, mask in ((0, covered), (2, fresh)):
         m = np.flatnonzero(mask[: cut + 1] if kind == 0 else mask[:cut])
         e = s[m] + n[m] - 1 + min_len if kind == 0 else n[m]
         if len(m):
@@ -218,7 +256,7 @@ def _anchor(b: bytes, n: int, min_len: int, kgram: int) -> int:
     return int(len(grams) - 1 - np.argmin((grams & ~low)[::-1]))
 
 
-def _settle_contexts(min_len: int, kgram: int, batch_bytes: int, max_group: int):
+def _settle_contexts(min_len: int, kgram: int, batch_bytes: int):
     """Rows arrive sorted by (h, _k, _k2, s)."""
 
     def expand(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -233,58 +271,50 @@ def _settle_contexts(min_len: int, kgram: int, batch_bytes: int, max_group: int)
             if len(hit):
                 ends = np.flatnonzero(np.append(np.diff(hit) > min_len, True))
                 begin = np.append(0, ends[:-1] + 1)
-                out.extend((k, k2, s + int(hit[i]), s + int(hit[j]) + min_len, None, None) for i, j in zip(begin, ends))
+                out.extend((k, k2, s + int(hit[i]), s + int(hit[j]) + min_len) for i, j in zip(begin, ends))
             at += len(b) + 1
         if out:
-            yield _settled(out)
-
-    def by_hash(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        """One row for each window of a group that is too large for one task."""
-        for k, k2, s, n, b in rows:
-            sums = prefix_sums(np.frombuffer(b, np.uint8))
-            start = np.arange(n)
-            w = span_hash(sums, start, start + min_len)
-            v = mix(span_hash(sums, start, start + min_len // 2) ^ (span_hash(sums, start + min_len // 2, start + min_len) << np.uint64(1)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, k)), pa.array(np.full(n, k2, np.int32)), pa.array((s + start).astype(np.int32)), pa.array((s + start + min_len).astype(np.int32)), pa.array(_unsigned(w)), pa.array(_unsigned(v))], names=["_k", "_k2", "s", "e", "w", "v"])
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names=["_k", "_k2", "s", "e"])
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready: list[tuple] = []
         ready_bytes = 0
         group: list[tuple] = []
-        size, h0, huge, last = 0, None, False, None
+        h0, last = None, None
         for batch in batches:
             for h, k, k2, s, n, b in zip(*(c.to_pylist() for c in batch.columns)):
                 if (h, k, k2, s) == last:
                     continue  # a copy of a text from another task
                 last = (h, k, k2, s)
                 if h != h0:
-                    if not huge:
-                        more = _may_repeat(group, min_len, kgram)
-                        ready += more
-                        ready_bytes += sum(len(r[4]) + 1 for r in more)
-                        if ready_bytes > batch_bytes:
-                            yield from expand(ready)
-                            ready, ready_bytes = [], 0
-                    group, size, h0, huge = [], 0, h, False
-                if not huge and size > max_group:
-                    huge = True
-                    yield from by_hash(group)
-                    group = []
-                if huge:
-                    yield from by_hash([(k, k2, s, n, b)])
-                else:
-                    group.append((k, k2, s, n, b))
-                    size += len(b)
-        if not huge:
-            ready += _may_repeat(group, min_len, kgram)
+                    more = _may_repeat(group, min_len, kgram)
+                    ready += more
+                    ready_bytes += sum(len(r[4]) + 1 for r in more)
+                    if ready_bytes > batch_bytes:
+                        yield from expand(ready)
+                        ready, ready_bytes = [], 0
+                    group, h0 = [], h
+                group.append((k, k2, s, n, b))
+        ready += _may_repeat(group, min_len, kgram)
         yield from expand(ready)
 
     return settle
 
 
-def _settled(out: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names=["_k", "_k2", "s", "e", "w", "v"])
+def _window_hashes(min_len: int):
+    """One row for each window of the runs of groups that are too large for one task."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, k2, s, n, b in zip(*(c.to_pylist() for c in batch.columns[1:])):
+                sums = prefix_sums(np.frombuffer(b, np.uint8))
+                start = np.arange(n)
+                w = span_hash(sums, start, start + min_len)
+                v = mix(span_hash(sums, start, start + min_len // 2) ^ (span_hash(sums, start + min_len // 2, start + min_len) << np.uint64(1)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, k)), pa.array(np.full(n, k2, np.int32)), pa.array((s + start).astype(np.int32)), pa.array(_unsigned(w)), pa.array(_unsigned(v))], names=["_k", "_k2", "s", "w", "v"])
+
+    return emit
 
 
 def repeated_spans(docs: DataFrame, text: str = "text", min_len: int = 200, kgram: int = KGRAM, batch_bytes: int = BATCH, max_group: int = MAX_GROUP, run_rows: int = RUN_ROWS, huge_rows: int = HUGE_ROWS) -> DataFrame:
@@ -300,23 +330,23 @@ def repeated_spans(docs: DataFrame, text: str = "text", min_len: int = 200, kgra
         texts.mapInArrow(_runs_of(min_len, kgram), RUN_SCHEMA)
         .repartition("h")
         .sortWithinPartitions("h", "c", "_k", "_k2", "s")
-        .mapInArrow(_settle_runs(min_len, run_rows, huge_rows), FOUND_SCHEMA)
+        .mapInArrow(_settle_runs(min_len, run_rows, huge_rows, max_group), FOUND_SCHEMA)
     )
     found = materialize(found, "runs")
-    asked = found.where("kind = 1").groupBy("_k", "_k2").agg(F.collect_list(F.struct("h", "s", F.col("e").alias("n"))).alias("parts"))
-    settled = (
-        texts.mapInArrow(_distinct_texts, texts.schema)
-        .join(asked, ["_k", "_k2"])
-        .mapInArrow(_contexts(min_len), CONTEXT_SCHEMA)
-        .repartition("h")
-        .sortWithinPartitions("h", "_k", "_k2", "s")
-        .mapInArrow(_settle_contexts(min_len, kgram, batch_bytes, max_group), SETTLED_SCHEMA)
-    )
-    settled = materialize(settled, "contexts")
-    windows = settled.where("w is not null")
-    twice = windows.groupBy("w", "v").count().where("count > 1").drop("count")
+    distinct = texts.mapInArrow(_distinct_texts, texts.schema)
+
+    def contexts(kind: int) -> DataFrame:
+        asked = found.where(F.col("kind") == kind).groupBy("_k", "_k2").agg(F.collect_list(F.struct("h", "s", F.col("e").alias("n"))).alias("parts"))
+        return distinct.join(asked, ["_k", "_k2"]).mapInArrow(_contexts(min_len), CONTEXT_SCHEMA)
+
+    settled = contexts(1).repartition("h").sortWithinPartitions("h", "_k", "_k2", "s").mapInArrow(_settle_contexts(min_len, kgram, batch_bytes), SETTLED_SCHEMA)
     parts = ["_k", "_k2", "s", "e"]
-    spans = found.where("kind = 0").select(parts).unionByName(settled.where("w is null").select(parts)).unionByName(windows.join(twice, ["w", "v"]).select(parts))
+    spans = found.where("kind = 0").select(parts).unionByName(materialize(settled, "contexts"))
+    if not found.where("kind = 2").isEmpty():
+        # a copy of a text from another task repeats its windows: places are counted once
+        windows = materialize(contexts(2).mapInArrow(_window_hashes(min_len), WINDOW_SCHEMA), "windows")
+        twice = windows.groupBy("w", "v").agg(F.min(F.struct("_k", "_k2", "s")).alias("a"), F.max(F.struct("_k", "_k2", "s")).alias("z")).where("a <> z").select("w", "v")
+        spans = spans.unionByName(windows.join(twice, ["w", "v"]).select("_k", "_k2", "s", (F.col("s") + min_len).alias("e")))
     return spans.groupBy("_k", "_k2").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("spans"))
 
 
@@ -333,12 +363,13 @@ def merge_spans(spans: list[dict], n: int) -> list[tuple[int, int]]:
 
 
 def _with_spans(docs: DataFrame, text: str, min_len: int, **options) -> DataFrame:
-    """docs with __copies (rows with the row's text) and __spans."""
+    """docs with two columns behind its own: how many rows have the row's text, and its spans."""
     keys = content_key(text_of(text))
-    copies = docs.select(*keys).groupBy("_k", "_k2").agg(F.count("*").alias("__copies"))
-    info = copies.join(repeated_spans(docs, text, min_len, **options).withColumnRenamed("spans", "__spans"), ["_k", "_k2"], "left")
-    info = info.select(F.col("_k").alias("__k"), F.col("_k2").alias("__k2"), "__copies", "__spans")
-    return docs.withColumns({"__k": keys[0], "__k2": keys[1]}).join(info, ["__k", "__k2"], "left")
+    k, k2, n, spans = unused(docs, "k", "k2", "copies", "spans")
+    copies = docs.select(*keys).groupBy("_k", "_k2").agg(F.count("*").alias("copies"))
+    info = copies.join(repeated_spans(docs, text, min_len, **options), ["_k", "_k2"], "left")
+    info = info.select(F.col("_k").alias(k), F.col("_k2").alias(k2), F.col("copies").alias(n), F.col("spans").alias(spans))
+    return docs.withColumns({k: keys[0], k2: keys[1]}).join(info, [k, k2], "left").select(*[F.col(f"`{x}`") for x in [*docs.columns, n, spans]])
 
 
 def _cut(data: bytes, copies: int, spans: list[dict] | None, min_len: int) -> list[tuple[int, int]]:
@@ -367,7 +398,7 @@ def repeat_report(docs: DataFrame, min_len: int = 200, **options) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    return _with_spans(own, "text", min_len, **options).select("doc_id", "text", "__copies", "__spans").mapInArrow(report, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _with_spans(own, "text", min_len, **options).mapInArrow(report, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def drop_repeats(docs: DataFrame, min_len: int = 200, **options) -> DataFrame:
@@ -402,4 +433,4 @@ def drop_repeats(docs: DataFrame, min_len: int = 200, **options) -> DataFrame:
                 cols[i] = pa.array([len(x) for x in left], cols[i].type)
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return _with_spans(spare, "text", min_len, **options).select(*names, "__copies", "__spans").mapInArrow(clean, schema)
+    return _with_spans(spare, "text", min_len, **options).mapInArrow(clean, schema)
