@@ -55,6 +55,7 @@ def test_suffix_dedup(spark):
     assert plain(suffix_dedup.repeat_report(documents(spark, rows)).collect()) == expected
     # small groups and huge ones must agree
     assert plain(suffix_dedup.repeat_report(documents(spark, rows), batch_bytes=2000, max_group=1500).collect()) == expected
+    assert plain(suffix_dedup.repeat_report(documents(spark, rows), batch_bytes=2000, max_group=1500, run_rows=40, huge_rows=120).collect()) == expected
     assert suffix_dedup.repeat_report(empty(spark)).collect() == []
 
 
@@ -151,8 +152,8 @@ def test_links_find_all_within_distance(spark):
     prints = centre + [c ^ sum(1 << b for b in r.sample(range(64), r.randrange(1, 7))) for c in centre for _ in range(6)]
     prints = sorted(set(prints))
     signed = [(p - 2**64 if p >= 2**63 else p,) for p in prints]
-    for bucket in (4096, 2):
-        got = simhash.links(spark.createDataFrame(signed, "fp long"), 4, bucket).collect()
+    for distance, bucket in ((4, 4096), (4, 2), (3, 2), (2, 2), (1, 2), (0, 2)):
+        got = simhash.links(spark.createDataFrame(signed, "fp long"), distance, bucket).collect()
         ids = list(range(len(prints)))
         root = {p: i for i, p in enumerate(prints)}
         merged = ids[:]
@@ -164,9 +165,9 @@ def test_links_find_all_within_distance(spark):
 
         for a, b in got:
             a, b = a % 2**64, b % 2**64
-            assert (a ^ b).bit_count() <= 4
+            assert (a ^ b).bit_count() <= distance
             merged[find(root[a])] = find(root[b])
-        want = brute_components(ids, prints)
+        want = brute_components(ids, prints, distance)
         same = {}
         assert all(same.setdefault(find(i), w) == w for i, w in enumerate(want)) and len(set(same.values())) == len(same)
 
@@ -186,36 +187,6 @@ def test_golay_keys_share_within_two_bits():
         assert ((own[:, :, None] == golay.keys(coset ^ m)[:, None, :]) & (own[:, :, None] >= 0)).any(axis=(1, 2)).all()
 
 
-def test_keep_first(spark):
-    rows = near_rows()
-    docs = documents(spark, rows)
-    got = simhash.keep_first(docs)
-    assert got.columns == docs.columns
-    kept = [(r["doc_id"], r["text"]) for r in got.collect()]
-    hashes = [simhash.shingle_hashes((t or "").encode(), 5) for _, t in rows]
-    own = [[simhash._word(h, k) for k in range(simhash.WORDS)] for h in hashes]
-    merged = list(range(len(rows)))
-
-    def find(i):
-        while merged[i] != i:
-            i = merged[i]
-        return i
-
-    for i in range(len(rows)):
-        for j in range(i):
-            if any((a ^ b).bit_count() <= 4 for a, b in zip(own[i], own[j])):
-                merged[find(i)] = find(j)
-    heads = {}
-    for i, (d, _) in enumerate(rows):
-        if d is not None:
-            heads[find(i)] = min(d, heads.get(find(i), d))
-    want = sorted(set(heads.values()))
-    assert sorted(d for d, _ in kept if d is not None) == want
-    assert [t for d, t in kept if d is None] == [t for i, (d, t) in enumerate(rows) if d is None and find(i) not in heads]
-    assert [d for d, _ in kept if d is not None].count(12) <= 1
-    assert simhash.keep_first(empty(spark)).collect() == []
-
-
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 99), (7, 7), (200, 201), (200, 201), (None, 5)]
     got = dict(map(tuple, components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()))

@@ -53,14 +53,29 @@ def check(rows, got):
 
 
 def test_pairs_from_0_8_are_found(spark):
+    """Candidates come from Golay keys of six words: nearly all pairs at 0.8 have one, and no pair below is linked."""
     rows = []
-    for i in range(150):
+    for i in range(300):
         base = words(5000 + i, 300).split()
-        rows += [(2 * i, " ".join(base)), (2 * i + 1, edited(base, 5 + i % 3, i))]
-    low = [jaccard(rows[2 * i][1], rows[2 * i + 1][1]) for i in range(150)]
-    assert sum(0.8 <= x < 0.85 for x in low) >= 90
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, edited(base, 1 + i % 7, i))]
+    low = [jaccard(rows[2 * i][1], rows[2 * i + 1][1]) for i in range(300)]
     kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, documents(spark, rows), "").collect()}
-    assert kept == {2 * i for i in range(150)} | {2 * i + 1 for i in range(150) if low[i] < 0.8}
+    assert {2 * i for i in range(300)} | {2 * i + 1 for i in range(300) if low[i] < 0.8} <= kept
+    for least, most, share in ((0.8, 0.85, 0.92), (0.85, 0.9, 0.95), (0.9, 1, 1)):
+        band = [i for i in range(300) if least <= low[i] < most]
+        caught = sum(2 * i + 1 not in kept for i in band)
+        print(f"near copies of similarity {least} to {most}: {caught} of {len(band)} caught")
+        assert len(band) >= 40 and caught >= share * len(band)
+
+
+def test_sketches_of_one_set_in_any_block(spark):
+    r = random.Random(4)
+    for n in (0, 1, 2, 254, 255, 256, 5000):
+        hashes = np.array([r.getrandbits(64) for _ in range(n)], np.uint64)
+        own = near_texts.sketch(hashes)
+        for k in range(near_texts.WORDS):
+            mixed = [int(x) for x in (near_texts.mix(hashes ^ np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)) if k else hashes)]
+            assert int(own[k]) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in mixed) > n)
 
 
 def test_family_below_0_8_stays(spark):
@@ -73,11 +88,11 @@ def test_family_below_0_8_stays(spark):
     assert len(got) > 75
 
 
-@pytest.mark.parametrize("max_set", [near_texts.MAX_SET, 600])
-def test_keep_first(spark, max_set):
+@pytest.mark.parametrize("bounds", [{}, {"max_set": 600}, {"max_set": 600, "max_bucket": 2}])
+def test_keep_first(spark, bounds):
     rows = near_rows()
     docs = documents(spark, rows)
-    got = near_texts.keep_first(docs, max_set=max_set)
+    got = near_texts.keep_first(docs, **bounds)
     assert got.columns == docs.columns
     check(rows, [(r["doc_id"], r["text"]) for r in got.collect()])
 

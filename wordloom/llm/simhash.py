@@ -15,14 +15,12 @@ fingerprints go another exact way: all words within 2 bits of each, grouped;
 fingerprints that share such a word are within 4 bits, and those within 4 bits
 share one.
 
-A fingerprint may have several words, each from hashes mixed anew; texts then
-link by any of them.  Of pairs that share 0.8 to 0.85, 0.85 to 0.9, 0.9 to 0.95
-and over 0.95 of their five-word shingles, one word links 6, 12, 34 and 79 in a
-hundred, and six link 37, 70, 90 and 100 (measured).
-
 Null text is empty; a text without words has fingerprint zero, which links as
 any other; rows with a null doc_id keep it and take the smallest doc_id of
-their component (null if it has none).
+their component (null if it has none).  Repeated rows give repeated results; a
+component is named by its smallest doc_id, so ties cannot change it.  An empty
+table gives an empty table.  Only doc_id and text are read, whatever other
+columns are named.
 """
 
 from __future__ import annotations
@@ -43,8 +41,6 @@ from wordloom.llm.windows import mix
 MAX_BUCKET = 4096
 #: Fingerprints that a task remembers as joined.
 FOREST = 1_000_000
-#: Words of a fingerprint where texts of 0.8 or more shared shingles are sought: one word alone finds few of them.
-WORDS = 6
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _PARTS = ((0, 13), (13, 26), (26, 39), (39, 52), (52, 64))
 _ONE = np.uint64(1)
@@ -82,24 +78,15 @@ def majority(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * total > n).tobytes(), "big")
 
 
-def _word(hashes: np.ndarray, k: int) -> int:
-    """Word k of a text's fingerprint; the first is that of the hashes themselves, the others of hashes mixed with k."""
-    return majority(mix(hashes ^ np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)) if k else hashes)
-
-
-def fingerprints(docs: DataFrame, shingle: int = 4, words: int = 1) -> DataFrame:
-    """(doc_id, fp, fp1, ...): the fingerprint's words, each of 64 bits as a signed long."""
-    names = ["fp", *(f"fp{k}" for k in range(1, words))]
+def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
+    """(doc_id, fp): fingerprints of 64 bits as signed longs."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.zeros((words, batch.num_rows), np.uint64)
-            for i, text in enumerate(batch.column(1)):
-                hashes = shingle_hashes(text.as_buffer().to_pybytes(), shingle)
-                fp[:, i] = [_word(hashes, k) for k in range(words)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, fp.view(np.int64))], names=["doc_id", *names])
+            fp = np.array([majority(shingle_hashes(text.as_buffer().to_pybytes(), shingle)) for text in batch.column(1)], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(emit, "doc_id long, " + ", ".join(f"{x} long" for x in names))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(emit, "doc_id long, fp long")
 
 
 def bucket_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -231,17 +218,25 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
 
-def _near_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All words within 2 bits of each fingerprint."""
+def _near_words(distance: int):
+    """All words within half of ``distance`` bits of each fingerprint, and for an odd distance each edge between two words that differ in one bit."""
     bit = _ONE << np.arange(64, dtype=np.uint64)
     i, j = np.triu_indices(64, 1)
-    moves = np.concatenate((np.zeros(1, np.uint64), bit, bit[i] ^ bit[j]))
-    for batch in batches:
-        fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-        for at in range(0, len(fp), 64):
-            part = fp[at : at + 64]
-            words = (part[:, None] ^ moves[None, :]).reshape(-1)
-            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(np.repeat(part, len(moves)).view(np.int64))], names=["key", "fp"])
+    moves = np.concatenate([np.zeros(1, np.uint64), bit, bit[i] ^ bit[j]][: distance // 2 + 1], axis=None)
+    # an odd distance: fingerprints meet at an edge, named by the word with the edge's bit cleared and that bit
+    edges = np.arange(64, dtype=np.uint64) if distance % 2 else None
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            for at in range(0, len(fp), 64):
+                part = fp[at : at + 64]
+                words = (part[:, None] ^ moves[None, :]).reshape(-1)
+                if edges is not None:
+                    words = mix((words[:, None] & ~bit[None, :]) ^ mix(edges + _ONE)[None, :]).reshape(-1)
+                yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(np.repeat(part, len(words) // len(part)).view(np.int64))], names=["key", "fp"])
+
+    return emit
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,50 +267,20 @@ def links(distinct: DataFrame, distance: int = 4, max_bucket: int = MAX_BUCKET)
     hot = found.where("a = b").select(F.col("a").alias("fp")).distinct()
     if hot.isEmpty():
         return found
-    if distance < 4:
-        raise ValueError("buckets past max_bucket are settled for distance 4 only")
-    stars = hot.mapInArrow(_near_words, "key long, fp long").repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_stars, "a long, b long")
+    stars = hot.mapInArrow(_near_words(distance), "key long, fp long").repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_stars, "a long, b long")
     return found.where("a <> b").unionByName(stars)
 
 
-def _components(prints: DataFrame, words: int, distance: int, max_bucket: int) -> DataFrame:
-    """(fp, component_id) for every first word: the smallest doc_id over all texts linked by any word."""
+def _components(prints: DataFrame, distance: int, max_bucket: int) -> DataFrame:
+    """(fp, component_id) for every fingerprint: the smallest doc_id over all texts of its component."""
     least = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "least")
-    edges = links(least.select("fp"), distance, max_bucket)
-    for k in range(1, words):
-        word = materialize(prints.select("fp", f"fp{k}").distinct(), "word")
-        node = materialize(word.groupBy(f"fp{k}").agg(F.min("fp").alias("node")), "node")
-        same = word.join(node, f"fp{k}").where("fp <> node").select(F.col("fp").alias("a"), F.col("node").alias("b"))
-        near = links(node.select(F.col(f"fp{k}").alias("fp")), distance, max_bucket)
-        ends = [node.select(F.col(f"fp{k}").alias(x), F.col("node").alias(f"n{x}")) for x in "ab"]
-        edges = edges.unionByName(same).unionByName(near.join(ends[0], "a").join(ends[1], "b").select(F.col("na").alias("a"), F.col("nb").alias("b")))
-    roots = connected_components(edges)
+    roots = connected_components(links(least.select("fp"), distance, max_bucket))
     named = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     return materialize(named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id"), "components")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, max_bucket: int = MAX_BUCKET, words: int = 1) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits, the first word), component_id of each row of docs (doc_id, text).
-
-    With several words, texts link when any of their words are within ``distance`` bits.
-    """
-    prints = materialize(fingerprints(docs, shingle, words), "prints")
-    component = _components(prints, words, distance, max_bucket)
+def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, max_bucket: int = MAX_BUCKET) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id of each row of docs (doc_id, text)."""
+    prints = materialize(fingerprints(docs, shingle), "prints")
+    component = _components(prints, distance, max_bucket)
     return prints.join(component, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_first(docs: DataFrame, shingle: int = 5, distance: int = 4, words: int = WORDS) -> DataFrame:
-    """docs (all columns) with the row of the smallest doc_id of each component.
-
-    Rows without doc_id come after all others, in the order of a hash of their text.
-    Rows that share a doc_id leave one, that of the smallest hash.
-    """
-    names = docs.columns
-    named = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text_of()).bitwiseAND(2**62 - 1) + F.lit(2**62)))
-    found = near_duplicates(named.select(F.col("__id").alias("doc_id"), "text"), shingle, distance, words=words)
-    heads = found.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    kept = named.join(heads, "__id", "left_semi")
-    if kept.groupBy("__id").count().where("count > 1").isEmpty():
-        return kept.select(*names)
-    first = kept.groupBy("__id").agg(F.min_by(F.struct(*[F.col(f"`{x}`") for x in names]), F.xxhash64(text_of(), F.lit(3))).alias("__row"))
-    return first.select(*[F.col("__row")[x].alias(x) for x in names])
