@@ -40,10 +40,11 @@ from wordloom.llm.common import content_key, materialize, text_of, unused
 from wordloom.llm.windows import mix, prefix_sums, rolling, runs, span_hash
 
 KGRAM = 64
-BATCH = 2_000_000
+#: Bytes that go through one transform, which takes about 200 times as many of memory; a group of up to MAX_GROUP is never cut.
+BATCH = 500_000
 #: Runs that a task settles at once, and those of one anchor group from which on it is settled in parts.
 RUN_ROWS, HUGE_ROWS = 400_000, 2_000_000
-MAX_GROUP = 4_000_000
+MAX_GROUP = 500_000
 _SEEN = 500_000
 RUN_SCHEMA = "h long, c long, _k long, _k2 int, s int, n int"
 FOUND_SCHEMA = "kind int, _k long, _k2 int, s int, e int, h long"

@@ -25,7 +25,7 @@ _PLAIN = re.compile("[\t\n\r -~\u00a0-\u00b1\u00b4-\u00b8\u00ba\u00bb\u00bf-\u02
 _NOT_PLAIN = r"[^\t\n\r -~\x{a0}-\x{b1}\x{b4}-\x{b8}\x{ba}\x{bb}\x{bf}-\x{12f}\x{131}-\x{24f}\x{2010}-\x{2027}\x{2030}-\x{205e}\x{20ac}]"
 _PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 #: Chunks that a worker remembers with their ids, and chunks that are encoded as one text.
-_CACHE, _JOINED = 1_000_000, 500
+_CACHE, _JOINED = 400_000, 500
 
 
 def default_path(name: str) -> str:
