@@ -22,12 +22,12 @@ def register(spark: SparkSession, tok: Tokenizer, prefix: str = "sp") -> list[st
 
     @arrow_udf(SCHEMA)
     def encode(texts: pa.Array) -> pa.Array:
-        return encodings_to_arrow(each(lambda t, x: t.encode(x), texts))
+        return encodings_to_arrow(each(lambda t, x: t.finish(t.bare(x)), texts))
 
     @arrow_udf(SCHEMA)
     def encode_pair(a: pa.Array, b: pa.Array) -> pa.Array:
         own = shared.tok
-        return encodings_to_arrow([None if x is None or y is None else own.encode_pair(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())])
+        return encodings_to_arrow([None if x is None or y is None else own.finish_pair(own.bare_pair(x, y)) for x, y in zip(a.to_pylist(), b.to_pylist())])
 
     @arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
@@ -35,7 +35,7 @@ def register(spark: SparkSession, tok: Tokenizer, prefix: str = "sp") -> list[st
 
     @arrow_udf("array<string>")
     def tokenize(texts: pa.Array) -> pa.Array:
-        return _lists(each(lambda t, x: t.tokenize(x), texts), pa.string())
+        return _lists(each(lambda t, x: [r[1] for r in t.rows(x)], texts), pa.string())
 
     @arrow_udf("int")
     def count(texts: pa.Array) -> pa.Array:

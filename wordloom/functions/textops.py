@@ -153,7 +153,8 @@ def pretokenize(text: Column, spec: PreTokenizerSpec | None) -> Column:
         text = F.when((text != "") & ~text.startswith(spec.replacement), F.concat(mark, text)).otherwise(text)
     if not spec.split:
         return F.array(F.struct(text.alias("text"), F.lit(0).alias("word_id")))
-    parts = F.regexp_extract_all(text, F.lit(f"(?s)(?:{quoted})?(?:(?!{quoted}).)+"), F.lit(0))
+    other = f"[^{_java(spec.replacement)}]+" if len(spec.replacement) == 1 else f"(?:(?!{quoted}).)+"
+    parts = F.regexp_extract_all(text, F.lit(f"(?s)(?:{quoted})?{other}"), F.lit(0))
     return F.transform(parts, lambda w, i: F.struct(w.alias("text"), i.alias("word_id")))
 
 

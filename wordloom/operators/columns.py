@@ -14,6 +14,8 @@ SPAN = "struct<start:int,end:int>"
 KINDS = dict(zip(FIELDS, ("array<string>", "array<int>", "array<int>", "array<int>", "array<int>", f"array<{SPAN}>", "array<int>", "array<int>")))
 SCHEMA = "struct<" + ",".join(f"{k}:{v}" for k, v in KINDS.items()) + ">"
 Int = Column | int
+#: Batches whose longest lengths are collected and sent to all tasks.
+BROADCAST_BATCHES = 50_000
 
 
 def _int(x: Int) -> Column:
@@ -44,9 +46,13 @@ def empty() -> Column:
 
 def content(tokens: Column, ids: Column, offsets: Column, word_ids: Column, type_id: Int = 0, sequence_id: Int | None = None) -> Column:
     """Content tokens from parallel arrays."""
-    n = F.size(ids)
-    parts = (tokens, ids, F.array_repeat(_int(type_id), n), F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), n), offsets, word_ids, F.array_repeat(_int(type_id if sequence_id is None else sequence_id), n))
-    return _each(dict(zip(FIELDS, parts)).__getitem__)
+
+    def body(s: Column) -> Column:
+        n = F.size(s["ids"])
+        parts = (s["tokens"], s["ids"], F.array_repeat(_int(type_id), n), F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), n), s["offsets"], s["words"], F.array_repeat(_int(type_id if sequence_id is None else sequence_id), n))
+        return _each(dict(zip(FIELDS, parts)).__getitem__)
+
+    return let(F.struct(tokens.alias("tokens"), ids.alias("ids"), offsets.alias("offsets"), word_ids.alias("words")), body)
 
 
 def special(token: str, token_id: int, type_id: int = 0) -> Column:
@@ -56,7 +62,8 @@ def special(token: str, token_id: int, type_id: int = 0) -> Column:
 
 
 def joined(*encodings: Column) -> Column:
-    return _each(lambda f: F.concat(*[e[f] for e in encodings]))
+    bound = F.struct(*[e.alias(f"e{i}") for i, e in enumerate(encodings)])
+    return let(bound, lambda s: _each(lambda f: F.concat(*[s[f"e{i}"][f] for i in range(len(encodings))])))
 
 
 def length(enc: Column | str) -> Column:
@@ -66,54 +73,72 @@ def length(enc: Column | str) -> Column:
 
 def with_padding(enc: Column | str, target: Int, pad_id: int, pad_token: str = "[PAD]", right: bool = True, pad_type_id: int = 0) -> Column:
     """P1"""
-    enc = _col(enc)
-    missing = F.greatest(_int(target) - length(enc), F.lit(0))
+    return let(_col(enc), lambda e: _padded(e, target, pad_id, pad_token, right, pad_type_id))
+
+
+def _padded(e: Column, target: Int, pad_id: int, pad_token: str, right: bool, pad_type_id: int) -> Column:
     null = F.lit(None).cast("int")
     fill = dict(zip(FIELDS, (F.lit(pad_token), F.lit(pad_id), F.lit(pad_type_id), F.lit(0), F.lit(1), _no_span(), null, null)))
 
-    def of(f: str) -> Column:
-        pad = F.array_repeat(fill[f], missing)
-        return F.concat(enc[f], pad) if right else F.concat(pad, enc[f])
+    def filled(missing: Column) -> Column:
+        pads = {f: F.array_repeat(fill[f], missing) for f in FIELDS}
+        return _each(lambda f: F.concat(e[f], pads[f]) if right else F.concat(pads[f], e[f]))
 
-    return F.when(enc.isNotNull(), _each(of))
+    return F.when(e.isNotNull(), let(F.greatest(_int(target) - length(e), F.lit(0)), filled))
 
 
 def pad_to_multiple(enc: Column | str, multiple: int, pad_id: int, pad_token: str = "[PAD]", right: bool = True, pad_type_id: int = 0) -> Column:
     """P2"""
-    enc = _col(enc)
-    return enc if multiple <= 0 else with_padding(enc, round_up(length(enc), multiple), pad_id, pad_token, right, pad_type_id)
+    if multiple <= 0:
+        return _col(enc)
+    return let(_col(enc), lambda e: _padded(e, round_up(length(e), multiple), pad_id, pad_token, right, pad_type_id))
 
 
 def round_up(n: Column, multiple: int | None) -> Column:
     return n + F.pmod(-n, F.lit(multiple)) if multiple and multiple > 0 else n
 
 
-def pad_to_longest(df: DataFrame, enc: str, pad_id: int, pad_token: str = "[PAD]", right: bool = True, pad_type_id: int = 0, batch_by: str | None = None, size: int | None = None, multiple: int | None = None) -> DataFrame:
-    """To a fixed size, or to the longest encoding of the whole table or of each batch; partial maxima before the exchange, no window."""
+def pad_to_longest(df: DataFrame, enc: str, pad_id: int, pad_token: str = "[PAD]", right: bool = True, pad_type_id: int = 0, batch_by: str | None = None, size: int | None = None, multiple: int | None = None, length_of: Column | None = None) -> DataFrame:
+    """To a fixed size, or to the longest encoding of the whole table or of each batch.
+
+    Maxima are found first, from ``length_of`` where it is given (a cheaper way to the lengths than the encodings
+    themselves).  Up to ``BROADCAST_BATCHES`` of them are sent to the encodings, which are then not exchanged at all;
+    of more, both sides meet by batch.
+    """
     if size is not None:
         return df.withColumn(enc, with_padding(enc, round_up(F.lit(size), multiple), pad_id, pad_token, right, pad_type_id))
-    longest = F.max(length(enc)).alias("__longest")
+    longest = F.max(length(enc) if length_of is None else length_of).alias("__longest")
     if batch_by is None:
-        # a scalar subquery: one number, computed once
-        return df.withColumn(enc, with_padding(enc, round_up(df.agg(longest).scalar(), multiple), pad_id, pad_token, right, pad_type_id))
-    else:
-        both = df.join(df.groupBy(F.col(batch_by).alias("__batch")).agg(longest), F.col(batch_by).eqNullSafe(F.col("__batch"))).drop("__batch")
+        return df.withColumn(enc, with_padding(enc, round_up(F.lit(df.agg(longest).first()[0] or 0), multiple), pad_id, pad_token, right, pad_type_id))
+    maxima = df.groupBy(F.col(batch_by).alias("__batch")).agg(longest)
+    few = maxima.limit(BROADCAST_BATCHES + 1).collect()
+    if len(few) <= BROADCAST_BATCHES:
+        maxima = F.broadcast(df.sparkSession.createDataFrame(few, maxima.schema))
+    both = df.join(maxima, F.col(batch_by).eqNullSafe(F.col("__batch"))).drop("__batch")
     return both.withColumn(enc, with_padding(enc, round_up(F.col("__longest"), multiple), pad_id, pad_token, right, pad_type_id)).drop("__longest")
 
 
 def with_truncation(enc: Column | str, max_length: Int, from_end: bool = True, keep_special: bool = False) -> Column:
     """T1, T2"""
-    enc, n = _col(enc), _int(max_length)
-    size = length(enc)
-    if not keep_special:
-        keep = F.least(size, n)
-        start = F.lit(1) if from_end else size - keep + 1
-        return F.when(enc.isNotNull(), _each(lambda f: F.slice(enc[f], start, keep)))
-    mask = enc["special_tokens_mask"]
+    n = _int(max_length)
+    if keep_special:
+        return let(_col(enc), lambda e: F.when(e.isNull() | (length(e) <= n), e.cast(SCHEMA)).otherwise(_cut_content(e, n, from_end)))
+
+    def cut(e: Column) -> Column:
+        keep = F.least(length(e), n)
+        start = F.lit(1) if from_end else length(e) - keep + 1
+        return F.when(e.isNotNull(), _each(lambda f: F.slice(e[f], start, keep)))
+
+    return let(_col(enc), cut)
+
+
+def _cut_content(e: Column, n: Column, from_end: bool) -> Column:
+    """All special tokens, and of the others as many as there is room for, with their spans and words."""
+    mask = e["special_tokens_mask"]
     null = F.lit(None).cast("int")
 
     def bounds(at: Column) -> Column:
-        room = F.least(F.size(at), F.greatest(n - F.size(F.filter(mask, lambda m: m == 1)), F.lit(0)))
+        room = F.least(F.size(at), F.greatest(n - (F.size(mask) - F.size(at)), F.lit(0)))
         low = F.when(room > 0, F.get(at, F.lit(0) if from_end else F.size(at) - room))
         high = F.when(room > 0, F.get(at, room - 1 if from_end else F.size(at) - 1))
         return F.struct(F.coalesce(low, F.lit(0)).alias("low"), F.coalesce(high, F.lit(-1)).alias("high"))
@@ -126,13 +151,11 @@ def with_truncation(enc: Column | str, max_length: Int, from_end: bool = True, k
         if f == "attention_mask":
             return F.transform(kept, lambda x: F.lit(1))
         blank = {"offsets": _no_span(), "word_ids": null, "sequence_ids": null}.get(f)
-        value = (lambda x: F.coalesce(F.get(enc[f], x["i"]), F.get(enc["type_ids"], x["i"]))) if f == "sequence_ids" else (lambda x: F.get(enc[f], x["i"]))
+        value = (lambda x: F.coalesce(F.get(e[f], x["i"]), F.get(e["type_ids"], x["i"]))) if f == "sequence_ids" else (lambda x: F.get(e[f], x["i"]))
         return F.transform(kept, value if blank is None else lambda x: F.when(x["s"], blank).otherwise(value(x)))
 
     content_at = F.filter(F.transform(mask, lambda m, i: F.when(m == 0, i)), lambda i: i.isNotNull())
-    kept = let(let(content_at, bounds), keep_between)
-    cut = let(kept, lambda k: _each(lambda f: of(k, f)))
-    return F.when(enc.isNull() | (size <= n), enc.cast(SCHEMA)).otherwise(cut)
+    return let(let(let(content_at, bounds), keep_between), lambda kept: _each(lambda f: of(kept, f)))
 
 
 def pair_lengths(a: Column, b: Column, room: Column, strategy: str) -> tuple[Column, Column]:
@@ -162,7 +185,10 @@ def truncate_pair(a: Column | str, b: Column | str, max_length: Int, strategy: s
 
 def merge(parts: Column, growing_offsets: bool = True) -> Column:
     """M1: an array of encodings as one; spans and words go on from those before."""
+    return let(parts, lambda p: _merged(p, growing_offsets))
+
 
+def _merged(parts: Column, growing_offsets: bool) -> Column:
     def span_end(e: Column) -> Column:
         return F.coalesce(F.array_max(F.transform(F.filter(e["offsets"], lambda o: (o["start"] != 0) | (o["end"] != 0)), lambda o: F.greatest(o["end"], F.lit(0)))), F.lit(0))
 

@@ -5,6 +5,9 @@ column: a projection, with no exchange and no join.  Each worker keeps the ids
 of the chunks it has seen, so that a frequent word is segmented once a worker.
 Decoding of plain pieces, and everything done to encodings afterwards, are
 native expressions.
+
+The input limit of a single call does not hold for columns: a text of any
+length is encoded whole, so that one long row cannot fail a job.
 """
 
 from __future__ import annotations
@@ -16,7 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from wordloom.model import BYTE
+from wordloom.functions import textops
+from wordloom.model import BYTE, MARK
 from wordloom.operators import columns
 from wordloom.operators.columns import SCHEMA
 from wordloom.operators.encoding import FIELDS, Encoding
@@ -67,7 +71,7 @@ def encode(text: Column | str, tok: Tokenizer, add_special: bool | None = None)
     @arrow_udf(SCHEMA)
     def run(texts: pa.Array) -> pa.Array:
         own = shared.tok
-        return encodings_to_arrow([None if t is None else own.encode(t, add_special) for t in texts.to_pylist()])
+        return encodings_to_arrow([None if t is None else own.finish(own.bare(t, add_special)) for t in texts.to_pylist()])
 
     return run(text)
 
@@ -79,7 +83,7 @@ def encode_pair(a: Column | str, b: Column | str, tok: Tokenizer, add_special: b
     @arrow_udf(SCHEMA)
     def run(left: pa.Array, right: pa.Array) -> pa.Array:
         own = shared.tok
-        return encodings_to_arrow([None if x is None or y is None else own.encode_pair(x, y, add_special, max_length, strategy) for x, y in zip(left.to_pylist(), right.to_pylist())])
+        return encodings_to_arrow([None if x is None or y is None else own.finish_pair(own.bare_pair(x, y, add_special, max_length, strategy)) for x, y in zip(left.to_pylist(), right.to_pylist())])
 
     return run(a, b)
 
@@ -117,25 +121,51 @@ def tokenize(text: Column | str, tok: Tokenizer) -> Column:
     @arrow_udf("array<string>")
     def run(texts: pa.Array) -> pa.Array:
         own = shared.tok
-        return _lists([None if t is None else own.tokenize(t) for t in texts.to_pylist()], pa.string())
+        return _lists([None if t is None else [r[1] for r in own.rows(t)] for t in texts.to_pylist()], pa.string())
 
     return run(text)
 
 
+def tokens_by(df: DataFrame, text: str, by: str, tok: Tokenizer) -> DataFrame:
+    """(by, tokens, docs): content tokens, and texts that have any, of each value of a column.
+
+    Where words can be segmented apart, texts are cut into words in the JVM and each distinct word is encoded once;
+    texts with a literal mark, in which words may run into each other, and other models take the way by whole texts.
+    """
+
+    def whole(part: DataFrame) -> DataFrame:
+        return part.select(by, token_count(text, tok).alias("n")).where("n > 0").groupBy(by).agg(F.sum("n").alias("tokens"), F.count("*").alias("docs"))
+
+    if not tok.counts_by_words:
+        return whole(df)
+    spaces = f"[{textops._java(textops.SPACE)}]"
+    plain = df.where(~F.contains(text, F.lit(MARK)))
+    words = plain.select(by, F.explode(F.split(text, spaces + "+")).alias("__w")).where("__w <> ''").groupBy(by, "__w").agg(F.count("*").alias("__n"))
+    counted = words.select(by, (F.col("__n") * token_count("__w", tok)).alias("tokens"), F.lit(0).cast("long").alias("docs"))
+    texts = plain.where(F.col(text).rlike(f"[^{textops._java(textops.SPACE)}]")).groupBy(by).agg(F.lit(0).cast("long").alias("tokens"), F.count("*").alias("docs"))
+    return counted.unionByName(texts).unionByName(whole(df.where(F.contains(text, F.lit(MARK))))).groupBy(by).agg(F.sum("tokens").alias("tokens"), F.sum("docs").alias("docs"))
+
+
 def _bare(tok: Tokenizer) -> Tokenizer:
     return tok.no_padding()
 
 
-def _padded(df: DataFrame, out: str, tok: Tokenizer, batch_by: str | None) -> DataFrame:
+def _padded(df: DataFrame, out: str, tok: Tokenizer, batch_by: str | None, length_of: Column | None = None) -> DataFrame:
     p = tok.padding
     if p is None:
         return df
-    return columns.pad_to_longest(df, out, tok.pad_id, tok.pad_token, p.right, p.pad_type_id, batch_by, p.length, p.multiple)
+    return columns.pad_to_longest(df, out, tok.pad_id, tok.pad_token, p.right, p.pad_type_id, batch_by, p.length, p.multiple, length_of)
 
 
 def encode_batch(df: DataFrame, text: str, tok: Tokenizer, out: str = "encoding", add_special: bool | None = None, batch_by: str | None = None) -> DataFrame:
-    """Every text encoded and cut on its own, then padded over the table or over each batch."""
-    return _padded(df.withColumn(out, encode(text, _bare(tok), add_special)), out, tok, batch_by)
+    """Every text encoded and cut on its own, then padded over the table or over each batch.
+
+    The longest lengths come from counts of ids, for which each distinct word is segmented once; encodings are made once.
+    """
+    n = token_count(text, tok) + sum(x is not None for x in tok.ends(add_special))
+    if tok.truncation is not None:
+        n = F.least(n, F.lit(tok.truncation.max_length))
+    return _padded(df.withColumn(out, encode(text, _bare(tok), add_special)), out, tok, batch_by, n)
 
 
 def encode_pair_batch(df: DataFrame, a: str, b: str, tok: Tokenizer, out: str = "encoding", add_special: bool | None = None, max_length: int | None = None, strategy: str | None = None, batch_by: str | None = None) -> DataFrame:

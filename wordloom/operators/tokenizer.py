@@ -151,6 +151,12 @@ class Tokenizer:
     def added_vocab(self) -> dict[str, int]:
         return {self.vocab.pieces[i].piece: i for i in self.vocab.added}
 
+    def is_added(self, token_id: int) -> bool:
+        return token_id in set(self.vocab.added)
+
+    def is_added_token(self, piece: str) -> bool:
+        return self.is_added(self.vocab.index.get(piece, -1))
+
     # one text
     def guard(self, text: str) -> None:
         if code_units(text) > MAX_CODE_UNITS:
@@ -216,7 +222,6 @@ class Tokenizer:
 
     def rows(self, text: str) -> list[Row]:
         """Tokens of a text without special tokens around it."""
-        self.guard(text)
         out: list[Row] = []
         at = 0
         for start, end, token in self.added_matches(text):
@@ -237,7 +242,7 @@ class Tokenizer:
         t = self.truncation
         return e if t is None else e.with_truncation(t.max_length, t.right, True)
 
-    def _finish(self, e: Encoding, cut: bool = True) -> Encoding:
+    def finish(self, e: Encoding, cut: bool = True) -> Encoding:
         """Of one text: truncation, then padding to a length, then to a multiple; there is no batch to pad to."""
         e, p = self._cut(e) if cut else e, self.padding
         if p is not None and p.length is not None:
@@ -264,12 +269,18 @@ class Tokenizer:
         end = [] if eos is None else [self._special("eos", c.pair_special_type_id)]
         return Encoding.joined([*([self._special("bos")] if bos is not None else []), first, *end * c.pair_eos_between, second, *end]), limit is not None
 
+    def finish_pair(self, made: tuple[Encoding, bool]) -> Encoding:
+        e, limited = made
+        return self.finish(e, not limited)
+
     def encode(self, text: str, add_special: bool | None = None) -> Encoding:
-        return self._finish(self.bare(text, add_special))
+        self.guard(text)
+        return self.finish(self.bare(text, add_special))
 
     def encode_pair(self, a: str, b: str, add_special: bool | None = None, max_length: int | None = None, strategy: str | None = None) -> Encoding:
-        e, limited = self.bare_pair(a, b, add_special, max_length, strategy)
-        return self._finish(e, not limited)
+        self.guard(a)
+        self.guard(b)
+        return self.finish_pair(self.bare_pair(a, b, add_special, max_length, strategy))
 
     def _pad_all(self, batch: list[Encoding]) -> list[Encoding]:
         p = self.padding
@@ -280,9 +291,14 @@ class Tokenizer:
         return [e.with_padding(size, self.pad_id, self.pad_token, p.right, p.pad_type_id) for e in batch]
 
     def encode_batch(self, texts: list[str], add_special: bool | None = None) -> list[Encoding]:
+        for t in texts:
+            self.guard(t)
         return self._pad_all([self._cut(self.bare(t, add_special)) for t in texts])
 
     def encode_pair_batch(self, pairs: list[tuple[str, str]], add_special: bool | None = None, max_length: int | None = None, strategy: str | None = None) -> list[Encoding]:
+        for pair in pairs:
+            for t in pair:
+                self.guard(t)
         made = [self.bare_pair(a, b, add_special, max_length, strategy) for a, b in pairs]
         return self._pad_all([e if limited else self._cut(e) for e, limited in made])
 
@@ -316,7 +332,6 @@ class Tokenizer:
 
     def ids(self, text: str) -> list[int]:
         """Ids of a text without special tokens around it; the same as those of ``rows``."""
-        self.guard(text)
         out, at = [], 0
         for start, end, token in [*self.added_matches(text), (len(text), len(text), None)]:
             if at < start:
@@ -329,6 +344,7 @@ class Tokenizer:
 
     def tokenize(self, text: str) -> list[str]:
         """E6"""
+        self.guard(text)
         return [r[1] for r in self.rows(text)]
 
     def decode(self, ids: list[int], skip_special: bool = True) -> str:
@@ -367,6 +383,11 @@ class Tokenizer:
             return all(p.score > float("-inf") for p in v.pieces)
         return True
 
+    @property
+    def counts_by_words(self) -> bool:
+        """Whether the tokens of a text without marks are those of its words, each as a text."""
+        return self.cuts_at_marks and self.pre_tokenizer is None and not getattr(self.segmenter, "fuse", False) and self.normalizer == NormalizerSpec()
+
     def to_json(self, pretty: bool = False) -> str:
         from wordloom.sources.own_json import dump
 

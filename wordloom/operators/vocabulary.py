@@ -95,6 +95,18 @@ def add_tokens(vocab: DataFrame, tokens: DataFrame, kind: int = USER_DEFINED) ->
     return vocab.unionByName(numbered.select((F.col("n") + last).cast("int").alias("id"), "piece", F.lit(0.0).cast("float").alias("score"), F.lit(kind).alias("type"), F.lit(True).alias("added")))
 
 
+def added_vocab(vocab: DataFrame) -> DataFrame:
+    """(id, piece) of the pieces that were added."""
+    return vocab.where("added").select("id", "piece")
+
+
+def is_added(df: DataFrame, piece: str, vocab: DataFrame, size: int | None = None) -> DataFrame:
+    """Df with the id of a piece (null if there is none) and whether it was added."""
+    known = vocab.where("piece <> ''").groupBy("piece").agg(F.max(F.struct("id", "added")).alias("__v")).select(F.col("piece").alias("__piece"), "__v")
+    found = df.join(_hint(known, size), F.col(piece) == F.col("__piece"), "left")
+    return found.select(*df.columns, F.col("__v.id").alias("id"), F.coalesce("__v.added", F.lit(False)).alias("is_added"))
+
+
 def add_at(vocab: DataFrame, entries: DataFrame) -> DataFrame:
     """Vocab with entries (id, piece, special) at their ids; gaps become empty pieces, conflicts are errors."""
     if not entries.where("id < 0").isEmpty():

@@ -4,17 +4,20 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.functions import textops
-from wordloom.model import MARK, NormalizerOp, NormalizerSpec, PreTokenizerSpec, Trainer
+from wordloom.model import CONTROL, MARK, AddedToken, NormalizerOp, NormalizerSpec, PreTokenizerSpec, Trainer
 from wordloom.operators import columns as C
 from wordloom.operators import encode as E
 from wordloom.operators import vocabulary as V
 from wordloom.plans import toy
-from wordloom.streaming.text_stream import printable_column, stream_decode_batch
+from wordloom.sources.tables import read_table as table
+from wordloom.sources.tables import spread
+from wordloom.streaming.text_stream import printable_column, stream_decode_arrays, stream_decode_batch
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -36,17 +39,13 @@ def _query(sql: str | None = None):
     return add
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def _documents(spark: SparkSession, sf_dir: str, *cols) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", *cols)
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", *cols)
 
 
 def _join(a: Column | str, sep: str = " ") -> Column:
     """Numbers and spans as text: nested types compare by their words."""
-    return F.array_join(F.transform(F.col(a) if isinstance(a, str) else a, lambda x: x.cast("string")), sep, "-")
+    return F.array_join((F.col(a) if isinstance(a, str) else a).cast("array<string>"), sep, "-")
 
 
 # Normalization
@@ -77,13 +76,25 @@ _normalize_query("n9_prepend", lambda t: textops.prepend(t, MARK), f"'{MARK}' ||
 _normalize_query("n10_replace", lambda t: textops.replace_all(t, r" +([a-z])", "_$1"), "regexp_replace(text, ' +([a-z])', '_$1', 'g')")
 
 
-@_query()
+_MAPPED = {"ä": "ae", "ö": "oe", "ü": "ue", "ß": "ss", "the": "THE", "th": "TH", "é": "e", ",": ""}
+
+
+def _sql_mapped() -> str:
+    """Longest forms first, each through a character of the private use area, so that none is mapped twice."""
+    out = "text"
+    for i, k in enumerate(sorted(_MAPPED, key=len, reverse=True)):
+        out = f"replace({out}, '{k}', chr({0xE000 + i}))"
+    for i, k in enumerate(sorted(_MAPPED, key=len, reverse=True)):
+        out = f"replace({out}, chr({0xE000 + i}), '{_MAPPED[k]}')"
+    return out
+
+
+@_query(f"SELECT doc_id, {_sql_mapped()} AS out FROM documents")
 def n6_charsmap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Leftmost-longest character map: rows only; tests hold it against a scan by characters."""
+    """Leftmost-longest character map: of the forms of the map none overlaps another but the longer one that it starts."""
     from wordloom.sources.charsmap import Charsmap
 
-    blob = Charsmap.build({"ä": "ae", "ö": "oe", "ü": "ue", "ß": "ss", "the": "THE", "th": "TH", "é": "e", "\t": ""}).to_bytes()
-    return _documents(spark, sf_dir, textops.charsmap_column(F.col("text"), blob).alias("out"))
+    return _documents(spark, sf_dir, textops.charsmap_column(F.col("text"), Charsmap.build(_MAPPED).to_bytes()).alias("out"))
 
 
 # Pre-tokenization
@@ -116,39 +127,57 @@ _chunk_query("w6_noop_split", PreTokenizerSpec(False, False), "[coalesce(text, '
 
 _TOY = f"v(id, piece, score, type) AS (VALUES {toy.sql_values()}), maps AS (SELECT map(list(piece), list(score)) AS s, map(list(piece), list(id)) AS i FROM v)"
 _DOC_WORDS = f"SELECT doc_id, lang, '{MARK}' || unnest(list_filter(string_split_regex(coalesce(text, ''), '{_WS}+'), lambda w: w <> '')) AS w FROM documents"
-# Best path by position, one row a word: p characters are done, best[p + 1] and path[p + 1] are those of the first p.
-_VITERBI = f"""
-words AS (SELECT DISTINCT w FROM ({_DOC_WORDS})),
+
+
+def _viterbi(words: str, unknown_score: str = "-20.0", unknown_ids: str = "'0'") -> str:
+    """Best path by position, one row a word: p characters are done, best[p + 1] and path[p + 1] are those of the first p.
+
+    The score and the ids of a character that no piece starts at are expressions over ``c``.
+    """
+    score, ids = (x.replace("c$", "substr(w, p + 1, 1)") for x in (unknown_score, unknown_ids))
+    return f"""
+words AS (SELECT DISTINCT w FROM ({words})),
 dp(w, p, best, path) AS (
   SELECT w, 0, [0.0::DOUBLE], [''] FROM words
   UNION ALL
   SELECT w, p + 1, list_append(best, c.x), list_append(path, c.y) FROM (
     SELECT w, p, best, path, list_sort(list_filter([
-      {{'x': best[p + 2 - k] + CASE WHEN k = 1 AND NOT h THEN -20.0 ELSE s[substr(w, p + 2 - k, k)] END, 'k': k,
-        'y': trim(path[p + 2 - k] || ' ' || CASE WHEN k = 1 AND NOT h THEN '0' ELSE i[substr(w, p + 2 - k, k)]::VARCHAR END)}}
+      {{'x': best[p + 2 - k] + CASE WHEN k = 1 AND NOT h THEN {score} ELSE s[substr(w, p + 2 - k, k)] END, 'k': k,
+        'y': trim(path[p + 2 - k] || ' ' || CASE WHEN k = 1 AND NOT h THEN {ids} ELSE i[substr(w, p + 2 - k, k)]::VARCHAR END)}}
       for k in range(1, least({toy.LONGEST}, p + 1) + 1) if s[substr(w, p + 2 - k, k)] IS NOT NULL OR (k = 1 AND NOT h)], lambda z: z.x IS NOT NULL), 'DESC')[1] AS c
     FROM (SELECT *, len(list_filter(range(1, {toy.LONGEST} + 1), lambda k: p + k <= length(w) AND s[substr(w, p + 1, k)] IS NOT NULL)) > 0 AS h FROM dp, maps WHERE p < length(w))
   )
 )"""
 
 
+_VITERBI = _viterbi(_DOC_WORDS)
+
+
+def _distinct_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.explode(F.split("text", f"[{textops._java(textops.SPACE)}]+"))
+    return spread(table(spark, sf_dir, "documents")).select(words.alias("w")).where("w <> ''").distinct()
+
+
 @_query(f"WITH RECURSIVE {_TOY}, {_VITERBI} SELECT w AS word, path[p + 1] AS ids FROM dp WHERE p = length(w)")
 def a4_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best paths of all distinct words of all documents."""
-    tok = toy.tokenizer()
-    words = F.explode(F.filter(F.split(F.coalesce("text", F.lit("")), f"[{textops._java(textops.SPACE)}]+"), lambda w: w != ""))
-    distinct = table(spark, sf_dir, "documents").select(words.alias("w")).distinct().select(F.concat(F.lit(MARK), "w").alias("word"))
-    # the word stands for its normal form: the mark is already there
-    bare = E.token_ids(F.regexp_replace("word", f"^{MARK}", ""), tok, False)
-    return distinct.select("word", _join(bare).alias("ids"))
+    return _distinct_words(spark, sf_dir).select(F.concat(F.lit(MARK), "w").alias("word"), _join(E.token_ids("w", toy.tokenizer(), False)).alias("ids"))
+
+
+_BYTE0 = len(toy.pieces())
+_CHAR_BYTES = "hex(encode(c$))"
+
+
+@_query(f"WITH RECURSIVE {_TOY}, {_viterbi(_DOC_WORDS, f'(length({_CHAR_BYTES}) // 2) * {toy.BYTE_SCORE!r}', f"array_to_string(list_transform(range(length({_CHAR_BYTES}) // 2, 0, -1), lambda z: {_BYTE0} + ('0x' || substr({_CHAR_BYTES}, (2 * z - 1)::INTEGER, 2))::INTEGER), ' ')")} SELECT w AS word, path[p + 1] AS ids FROM dp WHERE p = length(w)")
+def a6_byte_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best paths where a character that no piece starts at gives the pieces of its bytes, the last byte first."""
+    return _distinct_words(spark, sf_dir).select(F.concat(F.lit(MARK), "w").alias("word"), _join(E.token_ids("w", toy.bytes_tokenizer(), False)).alias("ids"))
 
 
 @_query(f"WITH RECURSIVE {_TOY}, {_VITERBI}, counted AS (SELECT w, len(string_split(path[p + 1], ' ')) AS n FROM dp WHERE p = length(w)) SELECT lang, sum(n)::BIGINT AS tokens, count(DISTINCT doc_id)::BIGINT AS docs FROM ({_DOC_WORDS}) JOIN counted USING (w) GROUP BY lang")
 def e_tokens_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normalize, cut, segment, aggregate: content tokens per language of texts that have any."""
-    tok = toy.tokenizer()
-    counted = table(spark, sf_dir, "documents").select("lang", E.token_count("text", tok).alias("n"))
-    return counted.where("n > 0").groupBy("lang").agg(F.sum("n").alias("tokens"), F.count("*").alias("docs"))
+    return E.tokens_by(spread(table(spark, sf_dir, "documents").select("lang", "text")), "text", "lang", toy.tokenizer())
 
 
 _BPE = f"""
@@ -165,23 +194,31 @@ m(w, a) AS (
 @_query(f"WITH RECURSIVE {_TOY}, {_BPE} SELECT w AS word, array_to_string(list_transform(a, lambda x: coalesce(i[x], 0)), ' ') AS ids FROM last, maps")
 def a10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merges of all distinct words of all documents."""
-    tok = toy.bpe()
-    words = F.explode(F.filter(F.split(F.coalesce("text", F.lit("")), f"[{textops._java(textops.SPACE)}]+"), lambda w: w != ""))
-    distinct = table(spark, sf_dir, "documents").select(words.alias("w")).distinct().select(F.concat(F.lit(MARK), "w").alias("word"))
-    return distinct.select("word", _join(E.token_ids(F.regexp_replace("word", f"^{MARK}", ""), tok, False)).alias("ids"))
+    return _distinct_words(spark, sf_dir).select(F.concat(F.lit(MARK), "w").alias("word"), _join(E.token_ids("w", toy.bpe(), False)).alias("ids"))
+
+
+_PLACES = "SELECT item_id, text, unnest(range(length(text)))::INTEGER AS place FROM benchmark"
+_PREFIXES = f"SELECT item_id, place, p.piece, p.id::INTEGER AS id, (place + length(p.piece))::INTEGER AS \"end\" FROM ({_PLACES}) JOIN v p ON starts_with(substr(text, place + 1, {toy.LONGEST}), p.piece) AND p.type = 1"
 
 
-@_query(f"WITH {_TOY} SELECT item_id, p.piece, p.id::INTEGER AS id, length(p.piece)::INTEGER AS \"end\" FROM benchmark JOIN v p ON starts_with(text, p.piece) AND p.type = 1")
+def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every place of every text of the benchmark."""
+    items = spread(table(spark, sf_dir, "benchmark").select("item_id", "text")).where("text <> ''")
+    return items.select("item_id", "text", F.explode(F.sequence(F.lit(0), F.char_length("text") - 1)).alias("place"))
+
+
+@_query(f"WITH {_TOY} {_PREFIXES}")
 def a3_all_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocab = V.vocab_df(spark, toy.tokenizer()).where("type = 1")
-    return V.all_prefixes(table(spark, sf_dir, "benchmark"), "text", vocab, toy.LONGEST, size=200).select("item_id", "piece", "id", "end")
+    return V.all_prefixes(_places(spark, sf_dir), "text", vocab, toy.LONGEST, F.col("place"), size=200).select("item_id", "place", "piece", "id", "end")
 
 
-@_query(f"WITH {_TOY} SELECT doc_id, arg_max(p.piece, length(p.piece)) AS piece, arg_max(p.id, length(p.piece))::INTEGER AS id, max(length(p.piece))::INTEGER + 3 AS \"end\" FROM documents JOIN v p ON starts_with(substr(text, 4), p.piece) AND p.type = 1 GROUP BY doc_id")
+@_query(f"WITH {_TOY}, f AS ({_PREFIXES}) SELECT item_id, place, arg_max(piece, \"end\") AS piece, arg_max(id, \"end\") AS id, max(\"end\") AS \"end\" FROM f GROUP BY item_id, place")
 def a2_longest_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The longest piece from the fourth character of each text on."""
+    """The longest piece at each place where one stands."""
     vocab = V.vocab_df(spark, toy.tokenizer()).where("type = 1")
-    return V.longest_prefix(table(spark, sf_dir, "documents"), "doc_id", "text", vocab, toy.LONGEST, 3, size=200).select("doc_id", "piece", "id", "end")
+    named = _places(spark, sf_dir).select(F.struct("item_id", "place").alias("key"), "text")
+    return V.longest_prefix(named, "key", "text", vocab, toy.LONGEST, F.col("key.place"), size=200).select("key.*", "piece", "id", "end")
 
 
 @_query("WITH x AS (SELECT doc_id, list_transform(string_split(coalesce(text, ''), ' '), lambda w: CASE WHEN length(w) < 5 THEN 0 ELSE length(w) END) AS a FROM documents) SELECT doc_id, array_to_string(list_filter(a, lambda x, i: x <> 0 OR i = 1 OR a[i - 1] <> 0), ' ') AS ids FROM x")
@@ -194,12 +231,14 @@ def a8_fuse_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _encoding(text: Column, type_id: int = 0) -> Column:
-    words = F.split(F.coalesce(text, F.lit("")), " ")
-    body = C.content(
-        words, F.transform(words, F.char_length), F.transform(words, lambda w, i: F.struct(F.when(i % 3 == 2, 0).otherwise(10 * i).alias("start"), F.when(i % 3 == 2, 0).otherwise(10 * i + F.char_length(w)).alias("end"))),
-        F.transform(words, lambda w, i: F.when(i % 3 != 2, F.floor(i / 2).cast("int"))), type_id,
-    )
-    return C.joined(C.special("<s>", 1), body, C.special("</s>", 2, 1))
+    def of(words: Column) -> Column:
+        body = C.content(
+            words, F.transform(words, F.char_length), F.transform(words, lambda w, i: F.struct(F.when(i % 3 == 2, 0).otherwise(10 * i).alias("start"), F.when(i % 3 == 2, 0).otherwise(10 * i + F.char_length(w)).alias("end"))),
+            F.transform(words, lambda w, i: F.when(i % 3 != 2, F.floor(i / 2).cast("int"))), type_id,
+        )
+        return C.joined(C.special("<s>", 1), body, C.special("</s>", 2, 1))
+
+    return C.let(F.split(F.coalesce(text, F.lit("")), " "), of)
 
 
 def _sql_encoding(text: str = "text", type_id: int = 0) -> str:
@@ -275,17 +314,19 @@ def _pair_query(name: str, strategy: str, a: str, b: str) -> None:
         second = F.concat_ws(" ", F.coalesce("source", F.lit("")), F.array_join(F.array_repeat(F.lit("x"), F.char_length("lang") * 20), " "))
         made = _documents(spark, sf_dir, _encoding(F.col("text")).alias("a"), _encoding(second, 1).alias("b"))
         left, right = C.truncate_pair("a", "b", 63, strategy)
-        return made.select("doc_id", C.length(left).cast("long").alias("n_a"), C.length(right).cast("long").alias("n_b"), F.element_at(left["tokens"], 1).alias("first"), F.try_element_at(right["tokens"], F.lit(-1)).alias("last"))
+        return made.select("doc_id", C.length(left).cast("long").alias("n_a"), C.length(right).cast("long").alias("n_b"), F.try_element_at(left["tokens"], F.lit(1)).alias("first"), F.try_element_at(right["tokens"], F.lit(-1)).alias("last"))
 
     run.__name__ = name
-    shown = "SELECT doc_id, a::BIGINT AS n_a, b::BIGINT AS n_b, '<s>' AS first"
+    shown = "SELECT doc_id, a::BIGINT AS n_a, b::BIGINT AS n_b, CASE WHEN a > 0 THEN '<s>' END AS first"
     full = "(SELECT doc_id, source, len(string_split(coalesce(source, ''), ' ')) + length(lang) * 20 + 2 AS whole FROM documents)"
-    _query(f"{_PAIR_LENGTHS}, c AS (SELECT doc_id, {a} AS a, {b} AS b FROM l) {shown}, CASE WHEN b = whole THEN '</s>' WHEN b = 1 THEN '<s>' WHEN b = 2 THEN source ELSE 'x' END AS last FROM c JOIN {full} USING (doc_id)")(run)
+    _query(f"{_PAIR_LENGTHS}, c AS (SELECT doc_id, {a} AS a, {b} AS b FROM l) {shown}, CASE WHEN b = 0 THEN NULL WHEN b = whole THEN '</s>' WHEN b = 1 THEN '<s>' WHEN b = 2 THEN source ELSE 'x' END AS last FROM c JOIN {full} USING (doc_id)")(run)
 
 
 _EXCESS = "greatest(a + b - 60, 0)"
 _LEAD = f"least(abs(a - b), {_EXCESS})"
 _pair_query("t4_pair_longest_first", "longest_first", f"a - CASE WHEN a > b THEN {_LEAD} ELSE 0 END - ({_EXCESS} - {_LEAD}) // 2", f"b - CASE WHEN a > b THEN 0 ELSE {_LEAD} END - ({_EXCESS} - {_LEAD} + 1) // 2")
+_pair_query("t5_only_first", "only_first", f"greatest(a - {_EXCESS}, 0)", "b")
+_pair_query("t5_only_second", "only_second", "a", f"greatest(b - {_EXCESS}, 0)")
 _pair_query("t6_pair_untouched", "do_not_truncate", "a", "b")
 
 
@@ -305,15 +346,28 @@ def m1_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"{_ENCODED}, f AS (SELECT doc_id, e, list_position(list_transform(e.o, lambda x, i: e.q[i] = '0' AND split_part(x, ':', 1)::INT <= 31 AND 31 < split_part(x, ':', 2)::INT), true) AS k FROM e), g AS (SELECT doc_id, e, k, list_filter(range(1, len(e.i) + 1), lambda i: e.q[i] = '0' AND e.w[i] = '3') AS found FROM f) SELECT doc_id, (k - 1)::INTEGER AS char_token, CASE WHEN e.w[k] <> '-' THEN e.w[k]::INTEGER END AS char_word, CASE WHEN len(e.o) > 2 THEN e.o[3] END AS token_chars, CASE WHEN e.w[3] <> '-' THEN e.w[3]::INTEGER END AS token_word, CASE WHEN e.q[3] <> '-' THEN e.q[3]::INTEGER END AS token_sequence, CASE WHEN len(found) > 0 THEN list_min(list_transform(found, lambda i: split_part(e.o[i], ':', 1)::INT))::VARCHAR || ':' || list_max(list_transform(found, lambda i: split_part(e.o[i], ':', 2)::INT))::VARCHAR END AS word_chars, CASE WHEN len(found) > 0 THEN (found[1] - 1)::VARCHAR || ':' || found[-1]::VARCHAR END AS word_tokens, 1 AS n_sequences, len(e.i)::INTEGER AS size FROM g".replace("CASE WHEN len(e.o) > 2 THEN e.o[3] END", "CASE WHEN e.m[3] = 1 THEN NULL ELSE e.o[3] END"))
 def c_index_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C1 to C8 at fixed places of each text's encoding."""
-    made = _documents(spark, sf_dir, _encoding(F.col("text")).alias("e"))
 
     def span(s: Column) -> Column:
         return F.when(s.isNotNull(), F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string")))
 
-    return made.select(
-        "doc_id", C.char_to_token("e", 31).alias("char_token"), C.char_to_word("e", 31).alias("char_word"), span(C.token_to_chars("e", 2)).alias("token_chars"), C.token_to_word("e", 2).alias("token_word"),
-        C.token_to_sequence("e", 2).alias("token_sequence"), span(C.word_to_chars("e", 3)).alias("word_chars"), span(C.word_to_tokens("e", 3)).alias("word_tokens"), C.n_sequences("e").alias("n_sequences"), C.length("e").alias("size"),
-    )
+    def mapped(e: Column) -> Column:
+        return F.struct(
+            C.char_to_token(e, 31).alias("char_token"), C.char_to_word(e, 31).alias("char_word"), span(C.token_to_chars(e, 2)).alias("token_chars"), C.token_to_word(e, 2).alias("token_word"),
+            C.token_to_sequence(e, 2).alias("token_sequence"), span(C.word_to_chars(e, 3)).alias("word_chars"), span(C.word_to_tokens(e, 3)).alias("word_tokens"), C.n_sequences(e).alias("n_sequences"), C.length(e).alias("size"),
+        )
+
+    return _documents(spark, sf_dir, C.let(_encoding(F.col("text")), mapped).alias("m")).select("doc_id", "m.*")
+
+
+@_query("SELECT doc_id, CASE WHEN source IS NULL THEN 1 ELSE 2 END AS n_sequences, CASE WHEN source IS NULL THEN NULL ELSE (len(string_split(coalesce(text, ''), ' ')) + 3)::INTEGER END AS first_of_second FROM documents")
+def c7_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C7, C1 on two sequences: a text and, where it has one, its source."""
+
+    def mapped(e: Column) -> Column:
+        return F.struct(C.n_sequences(e).alias("n_sequences"), C.char_to_token(e, 0, 1).alias("first_of_second"))
+
+    second = F.when(F.col("source").isNotNull(), _encoding(F.col("source"), 1)).otherwise(C.empty())
+    return _documents(spark, sf_dir, C.let(C.joined(_encoding(F.col("text")), second), mapped).alias("m")).select("doc_id", "m.*")
 
 
 @_query("SELECT conv_id, turn, concat('{\"ids\":[', array_to_string(list_transform(string_split(coalesce(text, ''), ' '), lambda w: length(w)), ','), ']}') AS json FROM conversations")
@@ -327,42 +381,89 @@ def s17_to_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user turn with the assistant turn after it."""
-    turns = table(spark, sf_dir, "conversations")
+    turns = spread(table(spark, sf_dir, "conversations"))
     answers = turns.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
     return turns.where("role = 'user'").join(answers, ["conv_id", "turn"]).select("conv_id", "turn", "text", "answer")
 
 
-@_query()
+_SQL_PAIRS = "(SELECT a.conv_id, a.turn, a.text, b.text AS answer FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 AND a.role = 'user' AND b.role = 'assistant')"
+
+
+def _sql_ids(source: str, key: str, texts: tuple[str, ...]) -> str:
+    """CTEs: enc(key, x0, ...) with the content ids of each text of each row of a source, null where the text is."""
+    cut = [f"SELECT {key}, {k} AS side, unnest(range(len(l))) AS pos, '{MARK}' || unnest(l) AS w FROM (SELECT {key}, list_filter(string_split_regex({t}, '{_WS}+'), lambda w: w <> '') AS l FROM {source})" for k, t in enumerate(texts)]
+    sides = ", ".join(f"CASE WHEN {t} IS NOT NULL THEN coalesce(j.m[{k}], []) END AS x{k}" for k, t in enumerate(texts))
+    return f"""cutw AS ({" UNION ALL ".join(cut)}), {_viterbi("SELECT w FROM cutw")},
+joined AS (SELECT {key}, map_from_entries(list((side, ids))) AS m FROM (SELECT {key}, side, flatten(list(string_split(path[p + 1], ' ') ORDER BY pos)) AS ids FROM cutw JOIN (SELECT * FROM dp WHERE p = length(w)) USING (w) GROUP BY {key}, side) GROUP BY {key}),
+enc AS (SELECT {", ".join(f"s.{k.strip()}" for k in key.split(","))}, {sides.replace("CASE WHEN ", "CASE WHEN s.")}, pc FROM {source} s LEFT JOIN joined j USING ({key}), (SELECT list(piece ORDER BY id) AS pc FROM v))"""
+
+
+def _sql_fields(parts: list[tuple[str, int, int]], ends: list[int]) -> str:
+    """The lists of an encoding <s> x </s> or <s> x </s> y </s>: parts are (ids, type, sequence), ends the types of </s>."""
+    one = {"t": "['<s>']", "i": "['1']", "y": "['0']", "a": "['1']", "m": "['1']", "w": "['-']", "q": "['-']"}
+    for (x, kind, sequence), end in zip(parts, ends):
+        n = f"list_transform({x}, lambda z: "
+        body = {"t": f"{n}pc[z::INTEGER + 1])", "i": x, "y": f"{n}'{kind}')", "a": f"{n}'1')", "m": f"{n}'0')", "w": f"{n}'-')", "q": f"{n}'{sequence}')"}
+        stop = {"t": "['</s>']", "i": "['2']", "y": f"['{end}']", "a": "['1']", "m": "['1']", "w": "['-']", "q": "['-']"}
+        one = {k: f"{v} || {body[k]} || {stop[k]}" for k, v in one.items()}
+    return "{" + ", ".join(f"'{k}': {v}" for k, v in one.items()) + "}"
+
+
+_PLAIN_SHOWN = tuple((k, n) for k, n in zip("tiyamowq", _SHOWN) if k != "o")
+
+
+def _show_plain(enc: Column) -> list[Column]:
+    """All fields but the offsets, which e8_offsets shows."""
+    return [c for c, n in zip(_show("x", enc)[1:], _SHOWN) if n != "offsets"]
+
+
+def _sql_show_plain(key: str, source: str, pad: str | None = None) -> str:
+    fill = dict(zip("tiyamwq", ("<pad>", "2", "0", "0", "1", "-", "-")))
+    out = [f"array_to_string(e.{k}" + (f" || list_transform(range({pad} - len(e.i)), lambda z: '{fill[k]}')" if pad else "") + f", ' ') AS {n}" for k, n in _PLAIN_SHOWN]
+    return f"SELECT {key}, {', '.join(out)} FROM {source}"
+
+
+_SINGLE = f"CASE WHEN x0 IS NOT NULL THEN {_sql_fields([('x0', 0, 0)], [0])} END AS e"
+_PAIR = f"CASE WHEN x0 IS NOT NULL AND x1 IS NOT NULL THEN {_sql_fields([('x0', 0, 0), ('x1', 1, 1)], [1, 1])} END AS e"
+
+
+@_query(f"WITH RECURSIVE {_TOY}, {_sql_ids('documents', 'doc_id', ('text',))}, f AS (SELECT doc_id, {_SINGLE} FROM enc) {_sql_show_plain('doc_id', 'f')}")
 def e1_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Full encodings with special tokens, cut to 512: tests hold them against definitions."""
-    tok = toy.tokenizer().with_truncation(512)
-    return _documents(spark, sf_dir, E.encode("text", tok).alias("e")).select(*_show("doc_id", F.col("e")))
+    """Encodings of whole texts with special tokens."""
+    return _documents(spark, sf_dir, E.encode("text", toy.tokenizer()).alias("e")).select("doc_id", *_show_plain(F.col("e")))
 
 
 @_query()
+def e8_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source spans of the tokens of whole texts; tests hold them against fixed cases and definitions."""
+    turns = spread(table(spark, sf_dir, "conversations")).select("conv_id", "turn", E.encode("text", toy.tokenizer()).alias("e"))
+    return turns.select("turn", *[c for c, n in zip(_show("conv_id", F.col("e")), ("conv_id", *_SHOWN)) if n in ("conv_id", "tokens", "offsets")])
+
+
+@_query(f"WITH RECURSIVE {_TOY}, {_sql_ids(_SQL_PAIRS, 'conv_id, turn', ('text', 'answer'))}, f AS (SELECT conv_id, turn, {_PAIR} FROM enc) {_sql_show_plain('conv_id, turn', 'f')}")
 def e2_encode_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = _pairs(spark, sf_dir).select("conv_id", "turn", E.encode_pair("text", "answer", toy.tokenizer(), max_length=128).alias("e"))
-    return made.select("turn", *_show("conv_id", F.col("e")))
+    """Each user turn with its answer, whole."""
+    made = _pairs(spark, sf_dir).select("conv_id", "turn", E.encode_pair("text", "answer", toy.tokenizer()).alias("e"))
+    return made.select("conv_id", "turn", *_show_plain(F.col("e")))
 
 
-@_query()
+@_query(f"WITH RECURSIVE {_TOY}, {_sql_ids('conversations', 'conv_id, turn', ('text',))}, f AS (SELECT conv_id, turn, {_SINGLE} FROM enc), g AS (SELECT *, (max(len(e.i)) OVER (PARTITION BY conv_id) + 7) // 8 * 8 AS size FROM f) {_sql_show_plain('conv_id, turn', 'g', 'size')}")
 def e3_encode_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tok = toy.tokenizer().with_truncation(256).with_padding(multiple=8)
-    return E.encode_batch(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "text", tok, batch_by="lang").select(*_show("doc_id", F.col("encoding")))
+    """The turns of a conversation as a batch, padded to the longest, rounded up to eights."""
+    tok = toy.tokenizer().with_padding(multiple=8)
+    turns = spread(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "text")
+    return E.encode_batch(turns, "text", tok, batch_by="conv_id").select("conv_id", "turn", *_show_plain(F.col("encoding")))
 
 
-@_query()
+@_query(f"WITH RECURSIVE {_TOY}, {_sql_ids(_SQL_PAIRS, 'conv_id, turn', ('text', 'answer'))}, f AS (SELECT conv_id, turn, {_PAIR} FROM enc), g AS (SELECT *, max(len(e.i)) OVER (PARTITION BY conv_id) AS size FROM f) {_sql_show_plain('conv_id, turn', 'g', 'size')}")
 def e4_encode_pair_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tok = toy.tokenizer().with_padding()
-    made = E.encode_pair_batch(_pairs(spark, sf_dir), "text", "answer", tok, max_length=64, batch_by="conv_id")
-    return made.select("turn", *_show("conv_id", F.col("encoding")))
+    made = E.encode_pair_batch(_pairs(spark, sf_dir), "text", "answer", toy.tokenizer().with_padding(), batch_by="conv_id")
+    return made.select("conv_id", "turn", *_show_plain(F.col("encoding")))
 
 
 @_query(f"WITH RECURSIVE {_TOY}, {_VITERBI} SELECT w AS word, array_to_string(list_transform(string_split(path[p + 1], ' '), lambda x: (SELECT piece FROM v WHERE id = x::INTEGER)), ' ') AS tokens FROM dp WHERE p = length(w)".replace("list_transform(string_split(path[p + 1], ' '), lambda x: (SELECT piece FROM v WHERE id = x::INTEGER))", "list_transform(string_split(path[p + 1], ' '), lambda x: pieces[x::INTEGER + 1])").replace("FROM dp WHERE", "FROM dp, (SELECT list(piece ORDER BY id) AS pieces FROM v) WHERE"))
 def e6_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.explode(F.filter(F.split(F.coalesce("text", F.lit("")), f"[{textops._java(textops.SPACE)}]+"), lambda w: w != ""))
-    distinct = table(spark, sf_dir, "documents").select(words.alias("w")).distinct()
-    return distinct.select(F.concat(F.lit(MARK), "w").alias("word"), F.array_join(E.tokenize("w", toy.tokenizer()), " ").alias("tokens"))
+    return _distinct_words(spark, sf_dir).select(F.concat(F.lit(MARK), "w").alias("word"), F.array_join(E.tokenize("w", toy.tokenizer()), " ").alias("tokens"))
 
 
 _IDS = f"list_transform(string_split(coalesce(text, ''), ' '), lambda w: (length(w) * 7) % {len(toy.pieces()) + 3})"
@@ -377,14 +478,27 @@ def d1_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir, E.decode(_fake_ids(), toy.tokenizer()).alias("text"))
 
 
+_BYTE_IDS = f"list_transform(string_split(coalesce(text, ''), ' '), lambda w: CASE WHEN length(w) % 2 = 0 THEN {_BYTE0 + 33} + (length(w) * 7) % 200 ELSE (length(w) * 7) % {_BYTE0} END)"
+
+
+@_query(f"WITH {_TOY}, p AS (SELECT list(CASE WHEN type IN (2, 3) THEN '' ELSE piece END ORDER BY id) AS p FROM v), x AS (SELECT doc_id, array_to_string(list_transform({_BYTE_IDS}, lambda i: CASE WHEN i >= {_BYTE0} THEN chr((i - {_BYTE0})::INTEGER) ELSE p[i + 1] END), '') AS t FROM documents, p) SELECT doc_id, regexp_replace(replace(t, '{MARK}', ' '), '^ ', '') AS text FROM x")
+def d1_decode_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte pieces give the character of their value."""
+    n = F.char_length
+    ids = F.transform(F.split(F.coalesce("text", F.lit("")), " "), lambda w: F.when(n(w) % 2 == 0, n(w) * 7 % 200 + (_BYTE0 + 33)).otherwise(n(w) * 7 % _BYTE0))
+    return _documents(spark, sf_dir, E.decode(ids, toy.bytes_tokenizer()).alias("text"))
+
+
 @_query(f"WITH {_TOY}, p AS (SELECT list(piece ORDER BY id) AS p FROM v) SELECT doc_id, array_to_string(list_transform({_IDS}, lambda i: coalesce(p[i + 1], '<unk>')), ' ') AS tokens FROM documents, p")
 def d4_ids_to_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir, F.array_join(E.ids_to_tokens(_fake_ids(), toy.tokenizer()), " ").alias("tokens"))
 
 
-@_query(f"WITH {_TOY} SELECT doc_id, array_to_string(list_transform(string_split(coalesce(text, ''), ' '), lambda w: coalesce(i[substr(w, 1, 2)], 0)), ' ') AS ids FROM documents, maps")
+@_query(f"WITH {_TOY} SELECT doc_id, array_to_string(list_transform(string_split(coalesce(text, ''), ' '), lambda w: coalesce(i[w], i['{MARK}' || w], 0)), ' ') AS ids FROM documents, maps")
 def d3_tokens_to_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = F.transform(F.split(F.coalesce("text", F.lit("")), " "), lambda w: F.substring(w, 1, 2))
+    """Whole words as tokens, with the mark where only that form is a piece."""
+    marked = F.array(*[F.lit(p.piece[1:]) for p in toy.pieces() if p.piece.startswith(MARK) and len(p.piece) > 1 and p.piece[1:] not in {q.piece for q in toy.pieces()}])
+    tokens = F.transform(F.split(F.coalesce("text", F.lit("")), " "), lambda w: F.when(F.array_contains(marked, w), F.concat(F.lit(MARK), w)).otherwise(w))
     return _documents(spark, sf_dir, _join(E.tokens_to_ids(tokens, toy.tokenizer())).alias("ids"))
 
 
@@ -397,26 +511,38 @@ def e7_special_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Vocabularies
 
-_BUILT = "b AS (SELECT row_number() OVER (ORDER BY w) - 1 AS id, w AS piece, n FROM (SELECT lower(substr(p_name, 1, 3)) AS w, count(*) AS n FROM part GROUP BY 1))"
+_BUILT = "b AS (SELECT row_number() OVER (ORDER BY w) - 1 AS id, w AS piece, n FROM (SELECT w, count(*) AS n FROM (SELECT unnest(string_split(lower(p_name), ' ')) AS w FROM part) GROUP BY 1))"
+
+
+def _name_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", F.posexplode(F.split(F.lower("p_name"), " ")).alias("at", "w"))
 
 
 def _built(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A vocabulary table from the part names' first letters: ids in the order of the pieces."""
+    """A vocabulary table of the words of part names: ids in the order of the pieces."""
     from pyspark.sql import Window
 
-    counts = table(spark, sf_dir, "part").groupBy(F.lower(F.substring("p_name", 1, 3)).alias("piece")).agg(F.count("*").alias("n"))
+    counts = _name_words(spark, sf_dir).groupBy(F.col("w").alias("piece")).agg(F.count("*").alias("n"))
     return counts.select((F.row_number().over(Window.orderBy("piece")) - 1).alias("id"), "piece", (-F.col("n")).cast("float").alias("score"), F.lit(1).alias("type"), F.lit(False).alias("added"))
 
 
+@_query("SELECT p_type AS piece, max(p_partkey)::INTEGER AS id FROM part GROUP BY p_type")
+def v1_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a repeated piece the last id counts."""
+    repeated = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("int").alias("id"), F.col("p_type").alias("piece"))
+    return V.index(repeated).select("piece", "id")
+
+
 @_query(f"WITH {_BUILT} SELECT id::INTEGER AS id, piece, -n::DOUBLE AS score FROM b")
 def v1_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _built(spark, sf_dir).select("id", "piece", F.col("score").cast("double").alias("score"))
 
 
-@_query(f"WITH {_BUILT} SELECT s_suppkey, coalesce(b.id, -1)::INTEGER AS id FROM (SELECT s_suppkey, lower(substr(s_name, 1, 3)) AS w FROM supplier) LEFT JOIN b ON w = piece UNION ALL SELECT p_partkey, coalesce(b.id, -1)::INTEGER FROM (SELECT p_partkey, lower(substr(p_name, 1, 3)) AS w FROM part) LEFT JOIN b ON w = piece")
+@_query(f"WITH {_BUILT}, w AS (SELECT 's' || s_suppkey AS key, unnest(string_split(lower(s_name), ' ')) AS w FROM supplier UNION ALL SELECT 'p' || p_partkey, unnest(string_split(lower(p_name), ' ')) FROM part) SELECT key, w AS word, coalesce(b.id, -1)::INTEGER AS id FROM w LEFT JOIN b ON w = piece")
 def v2_piece_to_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, "supplier").select("s_suppkey", F.lower(F.substring("s_name", 1, 3)).alias("w")).union(table(spark, sf_dir, "part").select("p_partkey", F.lower(F.substring("p_name", 1, 3))))
-    return V.piece_to_id(words, "w", _built(spark, sf_dir), -1).select("s_suppkey", F.col("id").cast("int").alias("id"))
+    suppliers = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("key"), F.explode(F.split(F.lower("s_name"), " ")).alias("word"))
+    parts = _name_words(spark, sf_dir).select(F.concat(F.lit("p"), "p_partkey"), "w")
+    return V.piece_to_id(suppliers.union(parts), "word", _built(spark, sf_dir), -1).select("key", "word", F.col("id").cast("int").alias("id"))
 
 
 @_query(f"WITH {_TOY}, x AS (SELECT event_id, (event_id % {len(toy.pieces()) + 5})::INTEGER AS token FROM events) SELECT event_id, token, coalesce(piece, '<unk>') AS piece, coalesce(score, '-infinity'::DOUBLE) AS score, coalesce(type, 2) AS type, coalesce(type, 2) IN (2, 3) AS is_special, false AS is_byte, token = 0 AS is_unk, token = 1 AS is_bos, token = 2 AS is_eos, token = 2 AS is_pad FROM x LEFT JOIN v ON token = v.id")
@@ -434,9 +560,9 @@ def v5_byte_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("*", V.byte_value(F.col("token")).alias("value"))
 
 
-@_query(f"WITH {_BUILT}, t AS (SELECT n_nationkey AS pos, lower(substr(n_name, 1, 3)) AS piece FROM nation), f AS (SELECT pos, piece FROM t WHERE piece NOT IN (SELECT piece FROM b)) SELECT id::INTEGER AS id, piece, false AS added FROM b UNION ALL SELECT ((SELECT max(id) FROM b) + row_number() OVER (ORDER BY pos))::INTEGER, piece, true FROM f")
+@_query(f"WITH {_BUILT}, t AS (SELECT n_nationkey AS pos, lower(n_name) AS piece FROM nation), f AS (SELECT pos, piece FROM t WHERE piece NOT IN (SELECT piece FROM b)) SELECT id::INTEGER AS id, piece, false AS added FROM b UNION ALL SELECT ((SELECT max(id) FROM b) + row_number() OVER (ORDER BY pos))::INTEGER, piece, true FROM f")
 def v7_add_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("pos"), F.lower(F.substring("n_name", 1, 3)).alias("piece"))
+    tokens = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("pos"), F.lower("n_name").alias("piece"))
     return V.add_tokens(_built(spark, sf_dir), tokens).select("id", "piece", "added")
 
 
@@ -449,12 +575,48 @@ def v9_add_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.add_at(vocab, entries).select("id", "piece", "type", "added")
 
 
-@_query(f"WITH {_BUILT}, t AS (SELECT n_nationkey AS pos, lower(substr(n_name, 1, 3)) AS piece FROM nation) SELECT pos::BIGINT AS pos, piece FROM t WHERE piece IN (SELECT piece FROM b)")
+_WITH_NATIONS = "t AS (SELECT n_nationkey AS pos, lower(n_name) AS piece FROM nation), f AS (SELECT pos, piece FROM t WHERE piece NOT IN (SELECT piece FROM b)), a AS (SELECT ((SELECT max(id) FROM b) + row_number() OVER (ORDER BY pos))::INTEGER AS id, piece FROM f)"
+
+
+def _nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("pos"), F.lower("n_name").alias("piece"))
+
+
+@_query(f"WITH {_BUILT}, {_WITH_NATIONS} SELECT id::INTEGER AS id, piece, 1 AS type, false AS added FROM b UNION ALL SELECT id, piece, 3, true FROM a")
+def v8_add_special_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.add_tokens(_built(spark, sf_dir), _nations(spark, sf_dir), CONTROL).select("id", "piece", "type", "added")
+
+
+@_query(f"WITH {_BUILT}, {_WITH_NATIONS} SELECT id, piece, true AS is_added FROM a UNION ALL SELECT id::INTEGER, piece, false FROM b WHERE piece IN ('green', 'blue', 'red') UNION ALL SELECT NULL, 'no such piece', false")
+def v10_added_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether pieces were added, for all that were and some that were not."""
+    grown = V.add_tokens(_built(spark, sf_dir), _nations(spark, sf_dir))
+    asked = V.added_vocab(grown).select("piece").union(grown.where("piece IN ('green', 'blue', 'red')").select("piece")).union(spark.createDataFrame([("no such piece",)], "piece string"))
+    return V.is_added(asked, "piece", grown).select("id", "piece", "is_added")
+
+
+@_query(f"WITH {_BUILT}, w AS (SELECT n_nationkey::BIGINT AS pos, lower(n_name) AS piece FROM nation UNION ALL SELECT p_partkey, unnest(string_split(lower(p_name), ' ')) FROM part) SELECT pos, piece FROM w WHERE piece IN (SELECT piece FROM b)")
 def v2_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("pos"), F.lower(F.substring("n_name", 1, 3)).alias("piece"))
+    tokens = _nations(spark, sf_dir).select(F.col("pos").cast("long").alias("pos"), "piece").union(_name_words(spark, sf_dir).select("p_partkey", "w"))
     return V.contains(tokens, "piece", _built(spark, sf_dir))
 
 
+_TAGS = ("<p>", "</p>", "<br>", "<b>", "</li>")
+_TAG_PATTERN = "|".join(_TAGS)
+
+
+@_query(f"WITH x AS (SELECT page_id, regexp_extract_all(coalesce(html, ''), '{_TAG_PATTERN}') AS t FROM pages) SELECT page_id, len(t)::BIGINT AS n, array_to_string(t, ' ') AS tags FROM x")
+def w9_added_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Added tokens are cut out of a text before it is normalized."""
+    tok = toy.tokenizer()
+    vocab = tok.vocab
+    for i, t in enumerate(_TAGS):
+        vocab = vocab.add_at(_BYTE0 + i, t)
+    tok = replace(tok, vocab=vocab, added_tokens=tuple(AddedToken(_BYTE0 + i, t, normalized=False) for i, t in enumerate(_TAGS)))
+    found = spread(table(spark, sf_dir, "pages")).select("page_id", F.filter(E.tokenize(F.coalesce("html", F.lit("")), tok), lambda t: t.isin(*_TAGS)).alias("t"))
+    return found.select("page_id", F.size("t").cast("long").alias("n"), F.array_join("t", " ").alias("tags"))
+
+
 _HF_UNIGRAM = json.dumps([["<unk>", 0.0], ["<s>", 0.0], [MARK, -1.0], ["hello", -2.5], ["<0x0A>", -9.0], ["h", -4.25]])
 _HF_MERGES = json.dumps(["h e", "l l", "he ll", "hell o", "h e"])
 _HF_VOCAB = json.dumps({"<unk>": 0, "h": 1, "e": 2, "l": 3, "o": 4, "he": 5, "ll": 6, "hell": 7, "hello": 8})
@@ -480,17 +642,23 @@ def s7_bpe_section(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Streams
 
 
-def _token_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(stream, pos, id): the ids of each conversation turn as a stream of tokens."""
-    made = table(spark, sf_dir, "conversations").select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("stream"), E.token_ids("text", toy.tokenizer()).alias("ids"))
-    return made.select("stream", F.posexplode("ids").alias("pos", "id"))
-
-
 @_query()
 def x2_stream_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of every turn's tokens; tests hold their concatenation against decode and each chunk against a full re-decode."""
-    out = stream_decode_batch(_token_stream(spark, sf_dir), "stream", "pos", "id", toy.tokenizer())
-    return out.select(F.col("key").alias("stream"), "seq", "chunk", "stream_end")
+    turns = spread(table(spark, sf_dir, "conversations"))
+    made = turns.select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("stream"), E.token_ids("text", toy.tokenizer()).alias("ids"))
+    return stream_decode_arrays(made, "stream", "ids", toy.tokenizer()).select(F.col("key").alias("stream"), "seq", "chunk", "stream_end")
+
+
+@_query(f"WITH RECURSIVE {_TOY}, {_sql_ids('conversations', 'conv_id, turn', ('text',))} SELECT conv_id, turn, regexp_replace(replace(array_to_string(list_transform(x0, lambda z: CASE WHEN z = '0' THEN '' ELSE pc[z::INTEGER + 1] END), ''), '{MARK}', ' '), '^ ', '') AS text FROM enc WHERE x0 IS NOT NULL")
+def x2_stream_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks of each stream together, from tokens that come one row each."""
+    turns = spread(table(spark, sf_dir, "conversations")).where("text is not null")
+    ids = turns.select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("stream"), F.posexplode(E.token_ids("text", toy.tokenizer())).alias("pos", "id"))
+    chunks = stream_decode_batch(ids, "stream", "pos", "id", toy.tokenizer())
+    whole = chunks.groupBy("key").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "chunk"))), lambda x: x["chunk"]), "").alias("text"))
+    parts = F.split("key", "/")
+    return whole.select(parts[0].cast("long").alias("conv_id"), parts[1].cast("long").alias("turn"), "text")
 
 
 _LAST = "length(text) - strpos(reverse(text), ' ')"

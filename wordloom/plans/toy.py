@@ -5,7 +5,7 @@ Scores are multiples of 1/256, so that sums are exact.
 
 from __future__ import annotations
 
-from wordloom.model import BPE, CONTROL, MARK, NORMAL, UNKNOWN, Config, Model, NormalizerSpec, Piece, Trainer
+from wordloom.model import BPE, BYTE, CONTROL, MARK, NORMAL, UNKNOWN, Config, Model, NormalizerSpec, Piece, Trainer
 from wordloom.operators.tokenizer import Tokenizer
 
 _LETTERS = "abcdefghijklmnopqrstuvwxyABDEHILOSTWäöüéèêçñóíá.,"
@@ -28,6 +28,16 @@ def bpe() -> Tokenizer:
     return tokenizer(BPE)
 
 
+#: Score of each byte piece.
+BYTE_SCORE = -6.5
+
+
+def bytes_tokenizer() -> Tokenizer:
+    """The same pieces, with all bytes behind them."""
+    more = [Piece(f"<0x{b:02X}>", BYTE_SCORE, BYTE) for b in range(256)]
+    return Tokenizer.from_model(Model((*pieces(), *more), Trainer(pad_id=2, byte_fallback=True), NormalizerSpec()), Config.gemma())
+
+
 def sql_values() -> str:
     """(id, piece, score, type) rows of a VALUES list."""
     return ", ".join(f"({i}, '{p.piece}', {p.score!r}::DOUBLE, {p.type})" for i, p in enumerate(pieces()))

@@ -190,6 +190,37 @@ def stream_decode_batch(df: DataFrame, key: str, pos: str, token_id: str, tok: T
     return rows.repartition("key").sortWithinPartitions("key", "pos").mapInArrow(run, schema)
 
 
+def stream_decode_arrays(df: DataFrame, key: str, ids: str, tok: Tokenizer, skip_special: bool = True, skip_prompt: bool = False, prompt_length: int = 1) -> DataFrame:
+    """(key, seq, chunk, stream_end): each row's ids decoded as a stream that ends with them; nothing is exchanged.  Null ids give no rows."""
+    from wordloom.operators.encode import Shared
+
+    shared = Shared(df.sparkSession, tok)
+    kind = df.schema[key].dataType
+    schema = StructType([StructField("key", kind), StructField("seq", LongType()), StructField("chunk", StringType()), StructField("stream_end", BooleanType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        row: list[tuple[str, bool]] = []
+        streamer = TextStreamer(shared.tok, skip_special, skip_prompt, prompt_length, lambda text, last: row.append((text, last)))
+        for batch in batches:
+            for k, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if tokens is None:
+                    continue
+                for x in tokens:
+                    streamer.put(x)
+                streamer.end()
+                out.extend((k, i, text, last) for i, (text, last) in enumerate(row))
+                row.clear()
+                if len(out) > 10_000:
+                    yield _arrow(out, batch.column(0).type)
+                    out.clear()
+            if out:
+                yield _arrow(out, batch.column(0).type)
+                out.clear()
+
+    return df.select(F.col(key).alias("key"), F.col(ids).alias("ids")).mapInArrow(run, schema)
+
+
 class _Held:
     """A tokenizer that goes along with the query: its driver-side worker sees no broadcasts."""
 
