@@ -30,11 +30,14 @@ CASES = [
 ]
 
 
+def best(html):
+    return html_text.best_path(list(html_text.blocks(html)))
+
+
 @pytest.mark.parametrize("at", range(len(CASES)))
 def test_extract(at):
     html, text = CASES[at]
-    best = html_text.best_path(html or "")
-    assert html_text.extract(html or "", best[0] if best else None) == text
+    assert html_text.extract(html or "", best(html or "")) == text
 
 
 def test_consensus_of_a_host(spark):
@@ -52,10 +55,65 @@ def test_consensus_of_a_host(spark):
 
 def test_very_long_page():
     html = page("".join(f"<p>paragraph {i} of <i>many</i></p>" for i in range(60_000)))
-    text = html_text.extract(html, html_text.best_path(html)[0])
+    text = html_text.extract(html, best(html))
     assert text.count("\n") == 59_999 and text.endswith("paragraph 59999 of many")
-    deep = "<div>" * 5000 + "deep" + "</div>" * 5000
-    assert html_text.extract(deep, None) == "deep"
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    start = time.time()
+    for inner in ("deep", "<b>" * 50_000 + "deep", "deep" + "</section>" * 50_000):
+        assert html_text.extract("<div>" * 100_000 + inner + "</div>" * 100_000, None) == "deep"
+    each = "".join(f"<div>text {i}" for i in range(100_000))
+    assert html_text.extract(each, best(each)).count("\n") == 99_999
+    assert time.time() - start < 60
+
+
+def test_sibling_below_a_long_path_stays_out():
+    wrapped = "<div class='wrapper-of-the-page'>" * 30
+    html = f"<body>{wrapped}<div class='main'><p>{'the text ' * 40}</p></div><div class='other'><p>OTHER BLOCK</p></div></body>"
+    assert html_text.extract(html, best(html)) == ("the text " * 40).strip()
+
+
+def test_parts_of_an_article_stay_and_boilerplate_goes():
+    keep = "".join(f"<div class='{c}'><p>kept {c}</p></div>" for c in ("legal", "tags", "copyright", "share-price", "legal-analysis", "cookie-recipe", "comment-culture"))
+    drop = "".join(f"<div class='{c}'><p>gone</p></div>" for c in ("ad", "ad-slot-3", "comment-list", "share-buttons", "related posts", "newsletter-box", "cookieNotice", "notice"))
+    assert html_text.extract(page(f"<h1>Head</h1>{keep}{drop}"), None).split("\n") == ["Head", *(f"kept {c}" for c in ("legal", "tags", "copyright", "share-price", "legal-analysis", "cookie-recipe", "comment-culture"))]
+    outside = "<div class='legal'><p>terms</p></div><div class='main'><p>" + "words " * 50 + "</p></div>"
+    assert html_text.extract(f"<body>{outside}</body>", best(f"<body>{outside}</body>")) == ("words " * 50).strip()
+
+
+def test_heading_and_lead_outside_the_inner_container_stay():
+    html = "<body><main><h1>Head</h1><p>Lead.</p><div class='body'><p>" + "long text " * 60 + "</p></div></main></body>"
+    assert html_text.extract(html, best(html)).split("\n")[:2] == ["Head", "Lead."]
+
+
+def test_one_page_has_one_vote(spark):
+    small = "<html><body><div class='a'><p>{}</p></div><div class='b'><p>x</p></div></body></html>"
+    large = "<html><body><div class='b'><p>" + "very long " * 5000 + "</p></div><div class='a'><p>y</p></div></body></html>"
+    rows = [(i, "http://h/", small.format("some words here " * 3)) for i in range(3)] + [(3, "http://h/", large)]
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(pages(spark, rows)).collect()}
+    assert got == {0: ("some words here " * 3).strip(), 1: ("some words here " * 3).strip(), 2: ("some words here " * 3).strip(), 3: "y"}
+
+
+def test_made_pages_of_many_hosts(spark):
+    """Pages of known articles in layouts of their hosts: every extracted word is of the article, and no word of it is missing."""
+    r = random.Random(8)
+    said = lambda n, mark: " ".join(f"{mark}{r.randrange(10**6)}" for _ in range(n))
+    rows, want = [], {}
+    for host in range(12):
+        box = r.choice([("<article>", "</article>"), ("<div class='post-{}'>", "</div>"), ("<main><div class='c'>", "</div></main>"), ("<section class='entry'>", "</section>")])
+        side = r.choice(["sidebar", "related-posts", "widget-area", "menu"])
+        for k in range(15):
+            i = 100 * host + k
+            blocks = [said(r.randrange(5, 80), "t") for _ in range(r.randrange(2, 9))]
+            want[i] = "\n".join(blocks)
+            inner = "".join(r.choice(["<p>{}</p>", "<h2>{}</h2>", "<ul><li>{}</li></ul>", "<blockquote><p>{}</p></blockquote>"]).format(b.replace(" ", "\n ", 1)) + (f"<div class='ad'>{said(9, 'no')}</div>" if r.random() < 0.3 else "") for b in blocks)
+            noise = f"<div class='{side}'><p>{said(60, 'no')}</p></div><div id='comments'><p>{said(80, 'no')}</p></div>"
+            rows.append((i, f"https://h{host}.example/{i}", f"<html><head><title>{said(3, 'no')}</title></head><body><header>{said(6, 'no')}</header><nav><a href='/'>{said(9, 'no')}</a></nav><div id='page'>{box[0].format(k)}{inner}{box[1]}{noise}</div><footer>{said(9, 'no')}</footer></body></html>"))
+    got = {x["page_id"]: x["text"] for x in html_text.main_text(pages(spark, rows)).collect()}
+    assert got == want
 
 
 def brute_rule(url):
