@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from wordloom.llm.suffix_dedup import _settle_runs
+from wordloom.llm.suffix_dedup import _settle_runs, _Windows
 
 
 def settled(classes, batch, run_rows, huge_rows):
@@ -24,3 +24,19 @@ def test_every_class_is_shown(classes, batch):
     covered, shown = settled(classes, batch, 40, 200)
     assert shown == set(range(len(classes)))
     assert covered == {1000 * i + j for i, n in enumerate(classes) if n > 1 for j in range(n)}
+
+
+@pytest.mark.parametrize("batch", [1, 2, 3, 50])
+def test_windows_at_two_places_are_found(batch):
+    r = np.random.default_rng(batch)
+    rows = sorted((int(h), int(v), int(k), 0, int(s)) for h, v, k, s in r.integers(0, 4, (60, 4)))
+    cols = [pa.array([x[i] for x in rows], pa.int64() if i < 3 else pa.int32()) for i in range(5)]
+    table = pa.RecordBatch.from_arrays(cols, names=["h", "v", "_k", "_k2", "s"])
+    windows, got = _Windows(20), []
+    for at in range(0, len(rows), batch):
+        for b in windows.found(table.slice(at, batch)):
+            got += [tuple(x.values()) for x in b.to_pylist()]
+    places = {}
+    for h, v, k, k2, s in rows:
+        places.setdefault((h, v), set()).add((k, k2, s))
+    assert sorted(got) == sorted((k, k2, s, s + 20) for at in places.values() if len(at) > 1 for k, k2, s in at)

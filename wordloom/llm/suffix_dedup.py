@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,17 +41,16 @@ from wordloom.llm.common import content_key, materialize, text_of, unused
 from wordloom.llm.windows import mix, prefix_sums, rolling, runs, span_hash
 
 KGRAM = 64
-#: Bytes that go through one transform, which takes about 200 times as many of memory; a group of up to MAX_GROUP is never cut.
-BATCH = 500_000
+#: Bytes that go through one transform, which takes about 80 times as many of memory; a group of up to MAX_GROUP is never cut.
+BATCH = 1_000_000
 #: Runs that a task settles at once, and those of one anchor group from which on it is settled in parts.
 RUN_ROWS, HUGE_ROWS = 400_000, 2_000_000
-MAX_GROUP = 500_000
+MAX_GROUP = 2_000_000
 _SEEN = 500_000
 RUN_SCHEMA = "h long, c long, _k long, _k2 int, s int, n int"
 FOUND_SCHEMA = "kind int, _k long, _k2 int, s int, e int, h long"
-CONTEXT_SCHEMA = "h long, _k long, _k2 int, s int, n int, b binary"
+CONTEXT_SCHEMA = "h long, v long, _k long, _k2 int, s int, n int, b binary"
 SETTLED_SCHEMA = "_k long, _k2 int, s int, e int"
-WINDOW_SCHEMA = "_k long, _k2 int, s int, w long, v long"
 
 
 def _unsigned(a: np.ndarray) -> np.ndarray:
@@ -202,20 +202,34 @@ def _distinct_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _contexts(min_len: int):
+    """(h, v, _k, _k2, s, n, b): the bytes of each run of a group (v is 0), and of a run of a large group each window,
+    without bytes: h and v are then two hashes of the window."""
+
+    def windows(key: int, key2: int, s: int, n: int, data: bytes) -> pa.RecordBatch:
+        sums = prefix_sums(np.frombuffer(data, np.uint8))
+        start, half = np.arange(n), min_len // 2
+        w = span_hash(sums, start, start + min_len)
+        v = mix(span_hash(sums, start, start + half) ^ (span_hash(sums, start + half, start + min_len) << np.uint64(1)))
+        cols = (_unsigned(w), _unsigned(v), np.full(n, key), np.full(n, key2, np.int32), (s + start).astype(np.int32), np.ones(n, np.int32))
+        return pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.nulls(n, pa.binary())], names=["h", "v", "_k", "_k2", "s", "n", "b"])
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
+            out: list[list] = [[] for _ in range(7)]
             size = 0
             for key, key2, text, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
                 data = text.as_buffer().to_pybytes()
                 for p in parts:
                     b = data[p["s"] : p["s"] + p["n"] - 1 + min_len]
-                    for col, x in zip(out, (p["h"], key, key2, p["s"], p["n"], b)):
+                    if p["large"]:
+                        yield windows(key, key2, p["s"], p["n"], b)
+                        continue
+                    for col, x in zip(out, (p["h"], 0, key, key2, p["s"], p["n"], b)):
                         col.append(x)
                     size += len(b)
                 if size > 8_000_000:
                     yield _context_batch(out)
-                    out, size = [[] for _ in range(6)], 0
+                    out, size = [[] for _ in range(7)], 0
             if out[0]:
                 yield _context_batch(out)
 
@@ -223,8 +237,38 @@ def _contexts(min_len: int):
 
 
 def _context_batch(out: list[list]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], names=["h", "_k", "_k2", "s", "n", "b"])
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], names=["h", "v", "_k", "_k2", "s", "n", "b"])
+
+
+class _Windows:
+    """Windows sorted by (h, v, _k, _k2, s): those that stand at two places or more.  Only one is held from batch to batch."""
+
+    def __init__(self, min_len: int):
+        self.min_len = min_len
+        self.last: np.ndarray | None = None  # the last row (h, v, _k, _k2, s)
+        self.held = False  # whether it is the only place of its window so far, and not yet sent
+
+    def found(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5)])
+        if self.last is not None:
+            rows = np.concatenate((self.last[:, None], rows), axis=1)
+        again = (rows[:, 1:] == rows[:, :-1]).all(axis=0)
+        rows = rows[:, np.concatenate(([True], ~again))]  # a copy of a text from another task
+        fresh = np.concatenate(([True], (rows[:2, 1:] != rows[:2, :-1]).any(axis=0)))
+        group = np.cumsum(fresh) - 1
+        # what came before counts, but is sent once
+        sent_before = self.last is not None and not self.held
+        many = np.bincount(group)[group] > 1
+        if sent_before:
+            many |= group == 0
+        send = many.copy()
+        if sent_before:
+            send[0] = False
+        self.last, self.held = rows[:, -1].copy(), not many[-1]
+        k, k2, s = rows[2:, send]
+        if len(s):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k, k2.astype(np.int32), s.astype(np.int32), (s + self.min_len).astype(np.int32))], names=["_k", "_k2", "s", "e"])
 
 
 def _may_repeat(group: list[tuple], min_len: int, kgram: int) -> list[tuple]:
@@ -258,7 +302,7 @@ def _anchor(b: bytes, n: int, min_len: int, kgram: int) -> int:
 
 
 def _settle_contexts(min_len: int, kgram: int, batch_bytes: int):
-    """Rows arrive sorted by (h, _k, _k2, s)."""
+    """Rows of ``_contexts`` arrive sorted by (h, v, _k, _k2, s)."""
 
     def expand(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         if not rows:
@@ -283,8 +327,13 @@ def _settle_contexts(min_len: int, kgram: int, batch_bytes: int):
         ready_bytes = 0
         group: list[tuple] = []
         h0, last = None, None
+        windows = _Windows(min_len)
         for batch in batches:
-            for h, k, k2, s, n, b in zip(*(c.to_pylist() for c in batch.columns)):
+            alone = pc.is_null(batch.column(6))
+            if alone.true_count:
+                yield from windows.found(batch.filter(alone))
+                batch = batch.filter(pc.invert(alone))
+            for h, _, k, k2, s, n, b in zip(*(c.to_pylist() for c in batch.columns)):
                 if (h, k, k2, s) == last:
                     continue  # a copy of a text from another task
                 last = (h, k, k2, s)
@@ -303,21 +352,6 @@ def _settle_contexts(min_len: int, kgram: int, batch_bytes: int):
     return settle
 
 
-def _window_hashes(min_len: int):
-    """One row for each window of the runs of groups that are too large for one task."""
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k, k2, s, n, b in zip(*(c.to_pylist() for c in batch.columns[1:])):
-                sums = prefix_sums(np.frombuffer(b, np.uint8))
-                start = np.arange(n)
-                w = span_hash(sums, start, start + min_len)
-                v = mix(span_hash(sums, start, start + min_len // 2) ^ (span_hash(sums, start + min_len // 2, start + min_len) << np.uint64(1)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, k)), pa.array(np.full(n, k2, np.int32)), pa.array((s + start).astype(np.int32)), pa.array(_unsigned(w)), pa.array(_unsigned(v))], names=["_k", "_k2", "s", "w", "v"])
-
-    return emit
-
-
 def repeated_spans(docs: DataFrame, text: str = "text", min_len: int = 200, kgram: int = KGRAM, batch_bytes: int = BATCH, max_group: int = MAX_GROUP, run_rows: int = RUN_ROWS, huge_rows: int = HUGE_ROWS) -> DataFrame:
     """(_k, _k2, spans): for each distinct text with repeats inside or in other distinct texts, its covered byte spans.
 
@@ -334,20 +368,17 @@ def repeated_spans(docs: DataFrame, text: str = "text", min_len: int = 200, kgra
         .mapInArrow(_settle_runs(min_len, run_rows, huge_rows, max_group), FOUND_SCHEMA)
     )
     found = materialize(found, "runs")
-    distinct = texts.mapInArrow(_distinct_texts, texts.schema)
-
-    def contexts(kind: int) -> DataFrame:
-        asked = found.where(F.col("kind") == kind).groupBy("_k", "_k2").agg(F.collect_list(F.struct("h", "s", F.col("e").alias("n"))).alias("parts"))
-        return distinct.join(asked, ["_k", "_k2"]).mapInArrow(_contexts(min_len), CONTEXT_SCHEMA)
-
-    settled = contexts(1).repartition("h").sortWithinPartitions("h", "_k", "_k2", "s").mapInArrow(_settle_contexts(min_len, kgram, batch_bytes), SETTLED_SCHEMA)
+    asked = found.where("kind > 0").groupBy("_k", "_k2").agg(F.collect_list(F.struct("h", "s", F.col("e").alias("n"), (F.col("kind") == 2).alias("large"))).alias("parts"))
+    settled = (
+        texts.mapInArrow(_distinct_texts, texts.schema)
+        .join(asked, ["_k", "_k2"])
+        .mapInArrow(_contexts(min_len), CONTEXT_SCHEMA)
+        .repartition("h")
+        .sortWithinPartitions("h", "v", "_k", "_k2", "s")
+        .mapInArrow(_settle_contexts(min_len, kgram, batch_bytes), SETTLED_SCHEMA)
+    )
     parts = ["_k", "_k2", "s", "e"]
     spans = found.where("kind = 0").select(parts).unionByName(materialize(settled, "contexts"))
-    if not found.where("kind = 2").isEmpty():
-        # a copy of a text from another task repeats its windows: places are counted once
-        windows = materialize(contexts(2).mapInArrow(_window_hashes(min_len), WINDOW_SCHEMA), "windows")
-        twice = windows.groupBy("w", "v").agg(F.min(F.struct("_k", "_k2", "s")).alias("a"), F.max(F.struct("_k", "_k2", "s")).alias("z")).where("a <> z").select("w", "v")
-        spans = spans.unionByName(windows.join(twice, ["w", "v"]).select("_k", "_k2", "s", (F.col("s") + min_len).alias("e")))
     return spans.groupBy("_k", "_k2").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("spans"))
 
 
