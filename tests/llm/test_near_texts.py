@@ -53,7 +53,7 @@ def check(rows, got):
 
 
 def test_pairs_from_0_8_are_found(spark):
-    """Candidates come from Golay keys of six words: nearly all pairs at 0.8 have one, and no pair below is linked."""
+    """Candidates come from Golay keys of eight words: nearly all pairs at 0.8 have one, and no pair below is linked."""
     rows = []
     for i in range(300):
         base = words(5000 + i, 300).split()

@@ -9,7 +9,7 @@ Two texts link when the Jaccard similarity of their sets of word shingles is
    a segment); words that share a key and differ in at most ``NEAR_BITS`` bits
    give a candidate pair of nodes, kept if the whole sketches differ in at
    most ``SKETCH_BITS``.  A pair of similarity 0.8 differs in 15 bits of a
-   hundred and shares a key of one word 4 times in ten, of any of six words 95
+   hundred and shares a key of one word 4 times in ten, of any of eight words 98
    times in a hundred; at 0.85 and 0.9 that is 99 and more (simulated; the
    tests measure it).  A bucket of over ``max_bucket`` words goes to step 3
    whole, as a star, whatever the bits say.
@@ -49,7 +49,7 @@ from wordloom.llm.windows import mix
 SIMILARITY = 0.8
 SHINGLE = 5
 #: Words of a sketch (at most 8: the number of a word takes three bits of a key), and bits in which a word, and all of a sketch, may differ.
-WORDS, NEAR_BITS, SKETCH_BITS = 6, 12, 96
+WORDS, NEAR_BITS, SKETCH_BITS = 8, 12, 128
 MAX_SET = 4_000_000
 #: Pairs that a task remembers as sent.
 _SENT = 500_000
