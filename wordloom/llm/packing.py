@@ -33,7 +33,7 @@ from wordloom.llm.tokens import default_path, word_encoder
 WINDOW = 4096
 END = (2).to_bytes(4, "little")
 #: Text that a worker encodes at once.
-SLICE_BYTES = 16_000_000
+SLICE_BYTES = 8_000_000
 #: Buckets of a length in the numbering: no task sees a length whole.
 SALTS = 512
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, salt int"
@@ -116,6 +116,8 @@ def _cut(vocabulary: str, window: int):
                         rows.append((doc, at, len(part) + last, zlib.crc32(END, crc) if last else crc, n, salt))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "salt"])
+        # the worker goes on to other tasks and stages
+        pa.default_memory_pool().release_unused()
 
     return emit
 
