@@ -25,42 +25,52 @@ def base_hits(words):
     return out
 
 
-def brute_license(doc, text):
-    ws = license_words(text)
-    hits = base_hits(ws)
-    found, score = set(), 0.0
-    joined = f" {' '.join(ws)} "
-    for label, (_, phrases) in licenses.TEMPLATES.items():
-        if not any(f" {p} " in joined for p in phrases):
-            continue
-        shift = defaultdict(dict)
-        for name, w, at, weight in licenses.postings():
-            if name == label:
-                for i, x in enumerate(ws):
-                    if x == w:
-                        shift[i - at][w] = weight
-        best = max((sum(v.values()) for v in shift.values()), default=0)
-        if best >= licenses.THRESHOLD - 1e-9:
-            found.add(label)
-            score = max(score, round(best, 6))
-    labels = {b for _, b in hits}
-    at = [i for i, _ in hits]
-    return doc, len(ws), len(hits), min(at, default=None), max(at, default=None), ",".join(sorted(labels)), ",".join(sorted(labels | found)), 1.0 if hits else min(1.0, score)
+def brute_licenses(rows):
+    """The method in plain words: for each text and template, all offsets, and the weight of the template's rare words near each."""
+    split = [license_words(t) for _, t in rows]
+    idf = lambda w: math.log(1 + (len(rows) + 1) / (sum(w in ws for ws in split) + 1))
+    rare = []
+    for _, text, _ in licenses.TEMPLATES:
+        ws = license_words(text)
+        first = {w: i for i, w in reversed(list(enumerate(ws)))}
+        top = sorted(first, key=lambda w: (-idf(w), first[w]))[: min(12, max(4, len(ws) // 8))]
+        rare.append({w: idf(w) / sum(map(idf, top)) for w in top})
+    out = []
+    for (doc, _), ws in zip(rows, split):
+        hits = base_hits(ws)
+        base = {b for _, b in hits}
+        share, found = {}, set()
+        for (label, text, phrases), weights in zip(licenses.TEMPLATES, rare):
+            template = license_words(text)
+            seen = {(i - at, w) for i, w in enumerate(ws) if w in weights for at, x in enumerate(template) if x == w}
+            for low in {low for shift, _ in seen for low in (shift // 8 * 8, (shift + 4) // 8 * 8 - 4)}:
+                weight = sum(weights[w] for w in {w for shift, w in seen if low <= shift < low + 8})
+                share[label] = max(share.get(label, 0), weight)
+                near = any(ws[i : i + len(p)] == p for p in map(str.split, phrases) for i in range(max(0, low - 4), low + len(template) + 12))
+                if weight >= 0.6 - 1e-9 and near:
+                    found.add(label)
+        at = [i for i, _ in hits]
+        score = max((min(1.0, share[x]) for x in base | found if x in share), default=0.0)
+        out.append((doc, len(ws), len(hits), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(base | found)), round(score, 5)))
+    return out
 
 
 LICENCES = [
     "released under the MIT license, all rights reserved. ALL RIGHTS  reserved", "cc-by cc by 4.0", "Licensed under CC BY-NC 4.0", "GNU General Public License version 3: licensed under the gnu general public license version 3",
     "licensed under the Apache License, Version 2.0 (the License)", "Apache the licensed version", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
     "mit license", "cc by", "all rights", "Redistribution and use in source and binary forms, with or without modification, are permitted",
+    "x " * 500 + licenses._MIT, licenses._MIT.replace("merge, ", "").replace("Software is furnished", "Software may be furnished and given"), " ".join(reversed(licenses._ISC.split())), licenses._GNU.format("General", "3", "General") + " " + "y " * 50 + licenses._ZLIB,
 ]
 
 
 def test_license_scan(spark):
     rows = texts() + [(100 + i, t) for i, t in enumerate(LICENCES)] + [(103, LICENCES[3])]
-    got = plain(licenses.scan(documents(spark, rows)).collect())
-    assert got == plain(brute_license(*r) for r in rows)
-    by = {r[0]: r[6] for r in got}
-    assert by[100] == "mit,reserved" and "gpl-3.0" in by[103] and "apache-2.0" in by[104] and by[105] == ""
+    got = [(*r[:7], round(r[7], 5)) for r in licenses.scan(documents(spark, rows)).collect()]
+    assert plain(got) == plain(brute_licenses(rows))
+    by = {r[0]: r for r in got}
+    assert by[100][6] == "mit,reserved" and "gpl-3.0" in by[103][6] and "apache-2.0" in by[104][6] and by[105][6] == ""
+    assert by[111][6] == by[112][6] == "mit" and by[113][6] == "" and {"gpl-3.0", "zlib"} <= set(by[114][6].split(","))
+    assert by[111][7] == 1 and 0.6 <= by[112][7] <= 1 and 0 < by[108][7] < 1 and by[109][7] == 0
     assert licenses.scan(empty(spark)).collect() == []
 
 
