@@ -149,6 +149,31 @@ def test_rules(spark):
     assert url_filter.judge_urls(pages(spark, []).limit(0)).collect() == []
 
 
+def test_labels_of_pages(spark):
+    """Pages of junk text teach the trees the look of their URLs; no rule and no word takes part."""
+    r = random.Random(12)
+    prose = lambda: " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(2, 9))) for _ in range(120))
+    junk = lambda: " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(2, 9))) + "###" for _ in range(120))
+    docs = spark.createDataFrame([(i, (junk if i % 3 == 0 else prose)()) for i in range(240)] + [(None, "x"), (0, prose())], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 != 0), 0) for i in range(240)] + [(None, 0, 0), (5000, 0, 0)], "doc_id long, quality int, toxic int")
+    rows = []
+    for i in range(300):
+        bad = i % 4 == 0
+        url = f"http://x{i}-y-z.example/{i}?a=1&b=2&c=3" if bad else f"http://site{i}.example/en/{i}"
+        rows.append((i, url, f"<html><script>{junk()}</script><body><p>{(junk if bad else prose)()}</p></body></html>"))
+    rows += [(300, None, "x"), (301, rows[0][1], None)]
+    made = url_filter.labels_of_pages(pages(spark, rows), docs, labels)
+    by = {}
+    for x in made.collect():
+        by.setdefault(x["url"], []).append(x["blocked"])
+    assert all(by[u] == [i % 4 == 0] for i, u, _ in rows[1:300]) and by[rows[0][1]] == [True, True] and None not in by
+    fresh = [(1000 + i, f"http://x{i}-q-r.example/?a=1&b=2&c={i}" if i % 2 else f"http://web{i}.example/de/{i}", None) for i in range(40)]
+    got = {x["page_id"]: x["verdict"] for x in url_filter.judge_urls(pages(spark, fresh), (), made).collect()}
+    assert all(got[i] == ("block" if i % 2 else "allow") for i, _, _ in fresh)
+    assert url_filter.labels_of_pages(pages(spark, []).limit(0), docs, labels).collect() == []
+    assert {x["verdict"] for x in url_filter.judge_urls(pages(spark, fresh), ()).collect()} == {"allow"}
+
+
 def test_learned_verdicts_hold_out(spark):
     r = random.Random(6)
 

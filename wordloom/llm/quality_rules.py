@@ -9,9 +9,13 @@ precise there.  The list becomes one ordered CASE expression.
 
 Words are told apart in windows of three by a 64-bit hash of the three.
 
-Null text has no words (and so fails the base rules).  Labels that are null,
-name no document or contradict each other do no harm; without labels the list
-is empty and the base rules decide alone.
+Null text has no words (and so fails the base rules).  Rows are judged apiece,
+each on its own text; of rows that repeat a labelled doc_id one teaches.
+Labels that are null or name no document do no harm, contradicting ones count
+as bad; without labels the list is empty and the base rules decide alone.  Of
+conditions of equal gain the first in the order of the features and the
+thresholds is taken.  An empty table gives an empty table; only doc_id and
+text are read, and columns of any name pass through ``keep_good``.
 """
 
 from __future__ import annotations
@@ -150,22 +154,31 @@ def describe(rules: list[list[Condition]]) -> list[str]:
     return [" and ".join(f"{FEATURES[f]} {'>=' if up else '<'} {cut:.6g}" for f, up, cut in rule) for rule in rules]
 
 
-def fit(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[list[Condition]]:
-    """Rules from labels (doc_id, quality) of documents in stats; a bounded sample reaches the driver."""
+def sample_of(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(doc_id, quality) of the ``sample`` labelled ids of smallest hash; an id with contradicting labels counts as bad."""
     known = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
     near = smallest_hashes(known, ["doc_id"], sample).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    chosen = near.orderBy(*in_hash_order(["doc_id"])).limit(sample)
-    rows = stats.where(f"n_words >= {MIN_WORDS}").join(chosen, "doc_id").select("doc_id", *FEATURES, "quality").collect()
-    rows.sort()
-    return learn([(tuple(r[1:-1]), r[-1] == 0) for r in rows])
+    return near.orderBy(*in_hash_order(["doc_id"])).limit(sample)
+
+
+def fit(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[list[Condition]]:
+    """Rules from labels (doc_id, quality) of documents in stats; a bounded sample reaches the driver, a row for each id."""
+    marked = stats.where(f"n_words >= {MIN_WORDS}").join(sample_of(labels, sample), "doc_id")
+    rows = marked.groupBy("doc_id").agg(F.min(F.struct(*FEATURES, "quality")).alias("x")).select(F.xxhash64("doc_id"), "doc_id", "x.*").collect()
+    rows.sort()  # the parts of the sample go by a hash of doc_id
+    return learn([(tuple(r[2:-1]), r[-1] == 0) for r in rows])
+
+
+def base_failed() -> Column:
+    """Over the columns of ``statistics``."""
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
 def judge(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, also: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, rule and the columns ``also`` of each row of docs."""
     stats = materialize(statistics(docs, also), "statistics")
     rules = fit(stats, labels, sample)
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    out = stats.select("*", failed.alias("base_failed"), verdict(rules).alias("rule"))
+    out = stats.select("*", base_failed().alias("base_failed"), verdict(rules).alias("rule"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.col("rule").isNull()).alias("kept"), "rule", *also)
 
 

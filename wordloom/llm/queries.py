@@ -33,7 +33,9 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge_urls(table(spark, sf_dir, "pages"))
+    pages = table(spark, sf_dir, "pages")
+    labels = url_filter.labels_of_pages(pages, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return url_filter.judge_urls(pages, labels=labels)
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

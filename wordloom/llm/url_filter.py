@@ -6,11 +6,18 @@ length, depth, digit ratio, entropy, parameter counts and suffix statistics.
 The trees are fitted on the driver to a bounded sample (``SAMPLE`` distinct
 URLs of smallest hash) of labelled URLs, and applied as nested conditionals.
 
-Labels: the rules' verdict where one fits; else block where a word of the host
-is on a short public list of spam words, and allow for the rest.
+Labels are given as a table (url, blocked).  ``labels_of_pages`` makes one
+from what the pages say: a URL is blocked where the text of its page fails the
+quality rules (operator 4) that are learned from labelled documents.  No rule
+and no word of the URL itself takes part.  Without labels, and where all
+labels agree, the trees have nothing to tell: the verdict is that of most
+labels, allow if there are none.
 
 A null url and one without :// have an empty host and path; the trees judge
-them as any other.  An empty table gives an empty table.
+them as any other.  Repeated rows are judged apiece; a URL with contradicting
+labels counts as blocked.  Of rules as long as each other the one listed first
+wins.  An empty table gives an empty table.  Only page_id, url (and for labels
+html) are read, whatever other columns are named.
 """
 
 from __future__ import annotations
@@ -21,11 +28,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import ASCII_LOWER, ASCII_UPPER, in_hash_order, smallest_hashes
+from wordloom.llm import quality_rules
+from wordloom.llm.common import ASCII_LOWER, ASCII_UPPER, in_hash_order, materialize, smallest_hashes
 
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-SPAM_WORDS = ("adult", "ads", "bet", "bets", "bingo", "casino", "cheap", "dating", "escort", "free", "gambling", "loan", "loans", "lottery", "pharma", "pills", "poker", "porn", "sex", "slots", "spam", "viagra", "warez", "win", "xxx")
-SAMPLE = 20_000
+SAMPLE = 8_000
 TREES, DEPTH, RATE = 40, 3, 0.3
 SUFFIXES = 64
 FEATURES = ("url_len", "host_len", "path_len", "depth", "labels", "hyphens", "digits", "entropy", "params", "query_len", "suffix_rate")
@@ -161,18 +168,32 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> UrlModel:
     return UrlModel(with_features(chosen).select(*FEATURES[:-1], "suffix", F.col("blocked").cast("int")).collect())
 
 
+def page_text(html: Column) -> Column:
+    """The text of a page without scripts, styles and tags, for its statistics only (operator 5 extracts the main text)."""
+    bare = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " ")
+    return F.regexp_replace(F.regexp_replace(bare, r"(?i)</?(p|div|h[1-6]|li|br|tr|article|section)\b[^>]*>", "\n"), r"<[^>]*>", " ")
+
+
+def labels_of_pages(pages: DataFrame, docs: DataFrame, doc_labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(url, blocked) for a bounded sample of the pages' URLs (page_id, url, html): whether the page's text fails rules learned from docs (doc_id, text) and doc_labels (doc_id, quality)."""
+    known = quality_rules.sample_of(doc_labels, quality_rules.SAMPLE)
+    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known.select("doc_id")), "doc_id", "left_semi")
+    rules = quality_rules.fit(quality_rules.statistics(marked), doc_labels)
+    named = pages.where("url is not null").select("url", page_text(F.col("html")).alias("text"))
+    near = smallest_hashes(named, ["url"], sample).withColumn("doc_id", F.lit(0))
+    judged = quality_rules.statistics(near, ("url",)).select("url", (quality_rules.base_failed() | quality_rules.verdict(rules).isNotNull()).alias("blocked"))
+    return materialize(judged, "url-labels")
+
+
 def judge_urls(pages: DataFrame, rules=RULES, labels: DataFrame | None = None, sample: int = SAMPLE) -> DataFrame:
-    """page_id, host, path, rule, verdict, score of each row of pages (page_id, url); labels (url, blocked) replace the own ones."""
+    """page_id, host, path, rule, verdict, score of each row of pages (page_id, url), by trees that are fitted to labels (url, blocked)."""
     host, path = parts(F.col("url"))
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), path.alias("path"))
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
-    if labels is None:
-        words = F.array(*map(F.lit, SPAM_WORDS))
-        spam = F.arrays_overlap(F.split("host", "[^a-z]+"), words)
-        labelled = own.where("host <> ''").select("url", "host", "path", F.coalesce(said == "block", spam).alias("blocked"))
-    else:
+    scored = own.select("page_id", "host", "path", rule.alias("rule"), said.alias("_said"), F.lit(0.0).alias("score"))
+    if labels is not None:
         labelled = labels.where("url is not null and blocked is not null").select("url", host.alias("host"), path.alias("path"), F.col("blocked").cast("boolean").alias("blocked"))
-    model = train(labelled, sample)
-    marked = with_features(own).withColumn("suffix_rate", model.suffix_rate())
-    scored = marked.select("page_id", "host", "path", rule.alias("rule"), said.alias("_said"), (1 / (1 + F.exp(-model.trees.column()))).alias("score"))
+        model = train(labelled, sample)
+        marked = with_features(own).withColumn("suffix_rate", model.suffix_rate())
+        scored = marked.select("page_id", "host", "path", rule.alias("rule"), said.alias("_said"), (1 / (1 + F.exp(-model.trees.column()))).alias("score"))
     return scored.select("page_id", "host", "path", "rule", F.coalesce("_said", F.when(F.col("score") > 0.5, "block").otherwise("allow")).alias("verdict"), "score")
