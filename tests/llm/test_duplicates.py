@@ -216,7 +216,7 @@ def test_myers():
         assert (got[0] if got else None) == (want if want <= 3 else None)
 
 
-ITEMS = [(0, words(70, 30)), (1, "The quick, brown fox jumps over the lazy dog again and again."), (2, None), (3, ""), (4, "?!"), (5, words(71, 12)), (5, words(71, 12)), (6, "漢字の文章 " * 5)]
+ITEMS = [(0, words(70, 30)), (1, "The quick, brown fox jumps over the lazy dog again and again."), (2, None), (3, ""), (4, "?!"), (5, words(71, 12)), (5, words(71, 12)), (6, "漢字の文章 " * 5), (7, "the"), (8, "Brown-Fox")]
 
 
 def leak_rows():
@@ -225,7 +225,7 @@ def leak_rows():
     for at in (10, 50, 90):
         edited[at] = "#" if at == 50 else "q"
     cut = item[: len(item) // 2]
-    return texts() + [(700, words(72, 40) + " " + item + " " + words(73, 40)), (701, words(74, 9) + " " + "".join(edited).upper() + " x"), (702, cut), (703, "the quick brown-fox jumped over the lazy dog; again and again"), (704, ITEMS[7][1]), (705, item + item)]
+    return texts() + [(700, words(72, 40) + " " + item + " " + words(73, 40)), (701, words(74, 9) + " " + "".join(edited).upper() + " x"), (702, cut), (703, "the quick brown-fox jumped over the lazy dog; again and again"), (704, ITEMS[7][1]), (705, item + item), (706, "other weather"), (707, "at the end"), (708, "the"), (709, "lathe the")]
 
 
 def test_decontamination(spark):
@@ -237,6 +237,8 @@ def test_decontamination(spark):
         text = decontaminate.normalised(t or "")
         for i, raw in ITEMS:
             item = decontaminate.normalised(raw or "")
+            if item and len(item) < 16 and f" {item} " not in f" {text} ":
+                continue
             if item and (best := edit_distance(item, text)) <= decontaminate.budget(item):
                 want.append((d, i, best, len(item)))
     for block in (4_000_000, 100):

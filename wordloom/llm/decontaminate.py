@@ -12,14 +12,20 @@ Items are a query set held against all texts in blocks of at most
 ``block_chars`` characters; a task holds one block at a time, whatever the
 size of the benchmark.
 
+An item without a budget (fewer than ``chars_per_error`` characters) must
+stand as whole words; a longer one may begin or end inside a word.
+
 Null and empty texts match nothing; items without letters or digits and null
 items match nothing; repeated rows give repeated results; empty tables give
-an empty result.  Only the named columns are read.
+an empty result.  Of places of equal distance the first counts.  Only the
+named columns are read, whatever other columns are named; ``drop_leaks``
+passes all on.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -115,6 +121,11 @@ class Matcher:
         out = []
         for i, starts in places.items():
             item_id, item, errors = self.items[i]
+            if not errors:
+                whole = [a for a in starts if (a == 0 or text[a - 1] == " ") and (a + len(item) == len(text) or text[a + len(item)] == " ")]
+                if whole:
+                    out.append((item_id, 0, len(item), min(whole) + len(item)))
+                continue
             masks = self.masks.get(i)
             if masks is None:
                 masks = self.masks[i] = myers_masks(item)
@@ -136,6 +147,17 @@ class Matcher:
         return out
 
 
+_BUILT: dict[str, Matcher] = {}
+
+
+def _matcher(name: str, sent, chars_per_error: int, max_errors: int | None) -> Matcher:
+    """The matcher of a block, built once for all tasks of a worker that follow each other; name tells blocks apart."""
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = Matcher(sent.value, chars_per_error, max_errors)
+    return _BUILT[name]
+
+
 def _blocks(items: DataFrame, block_chars: int) -> Iterator[list[tuple[int, str]]]:
     """The items, streamed to the driver and handed on in blocks of bounded size."""
     block, size = [], 0
@@ -159,10 +181,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, chars_per_error: int = CHARS_P
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     out = spark.createDataFrame([], _SCHEMA)
     for block in _blocks(items, block_chars):
-        sent = spark.sparkContext.broadcast(block)
+        sent, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
-        def emit(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(sent.value, chars_per_error, max_errors)
+        def emit(batches: Iterator[pa.RecordBatch], sent=sent, name=name) -> Iterator[pa.RecordBatch]:
+            matcher = _matcher(name, sent, chars_per_error, max_errors)
             for batch in batches:
                 rows = [(doc, *found) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)) for found in matcher.matches(text.as_py())]
                 if rows:
@@ -176,10 +198,10 @@ def drop_leaks(docs: DataFrame, items: DataFrame, chars_per_error: int = CHARS_P
     """docs (all columns) without the rows whose text holds an item; nothing is shuffled."""
     at = docs.columns.index("text")
     for block in _blocks(items, block_chars):
-        sent = docs.sparkSession.sparkContext.broadcast(block)
+        sent, name = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
 
-        def clean(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(sent.value, chars_per_error, max_errors)
+        def clean(batches: Iterator[pa.RecordBatch], sent=sent, name=name) -> Iterator[pa.RecordBatch]:
+            matcher = _matcher(name, sent, chars_per_error, max_errors)
             for batch in batches:
                 keep = [not matcher.matches(text or "") for text in batch.column(at).to_pylist()]
                 yield batch.filter(pa.array(keep, pa.bool_()))
