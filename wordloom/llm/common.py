@@ -8,24 +8,32 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN: dict[str, str] = {}
+_FOLDERS: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir, which all executors see; an own one only where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
+    """This application's folder below the one named in spark.checkpoint.dir, which all executors see.
+
+    Where that is unset, a temporary folder serves a local master (tests); on a cluster it is an error.  The folder is
+    deleted when the application ends.
+    """
     app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="wordloom-shared-")
-    return _OWN[app]
+    if app not in _FOLDERS:
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            base = "file://" + tempfile.mkdtemp(prefix="wordloom-shared-")
+        _FOLDERS[app] = f"{base.rstrip('/')}/wordloom-{app}"
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_FOLDERS[app])
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return _FOLDERS[app]
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there and lost executors cost nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/wordloom/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

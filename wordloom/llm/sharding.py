@@ -7,11 +7,15 @@ takes 1 / (n + 1) of the keys, from all others, and moves nothing else.  The
 overflow under ANSI arithmetic.
 
 Places inside a shard (``slot``) come in two steps: rows are numbered inside
-1024 buckets of a shard (bits of the generator), and buckets start where the
-counts of those before them end; no task sees a whole shard.
+1024 buckets of a shard (a hash of the key and the ordering columns, so that
+rows of one key do not meet in one bucket), and buckets start where the counts
+of those before them end; no task sees a whole shard.
 
 Null keys count as -1; null text is empty.  Rows that repeat a key share its
-shard and take slots next to each other.
+shard; which of rows that are equal in key and order takes which slot is open,
+as nothing tells them apart.  An empty table gives an empty table.  Only the
+key and the ordering columns are read (doc_id and text of documents), whatever
+other columns are named.
 """
 
 from __future__ import annotations
@@ -43,33 +47,33 @@ def _step(hi: Column, lo: Column) -> tuple[Column, Column]:
 
 
 def jump_hash(key: Column, shards: int) -> Column:
-    """struct(shard, grown, bucket): the shard of a long key among ``shards`` and among one more, and a bucket (0 to 1023)."""
+    """struct(shard, grown): the shard of a long key among ``shards`` and among one more."""
     if shards < 1:
         raise ValueError("at least one shard")
     key = F.coalesce(key.cast("long"), F.lit(-1).cast("long"))
     hi, lo = F.shiftrightunsigned(key, 32), key.bitwiseAND(_M32)
     long0 = F.lit(0).cast("long")
-    start = F.struct(hi.alias("hi"), lo.alias("lo"), long0.alias("j"), long0.alias("shard"), long0.alias("grown"), long0.alias("bucket"))
+    start = F.struct(hi.alias("hi"), lo.alias("lo"), long0.alias("j"), long0.alias("shard"), long0.alias("grown"))
 
-    def jump(s: Column, i: Column) -> Column:
+    def jump(s: Column, _: Column) -> Column:
         nhi, nlo = _step(s["hi"], s["lo"])
         # the next jump: (j + 1) * 2**31 / (the generator's upper 31 bits + 1)
         far = F.floor((s["j"] + 1) * (F.lit(float(1 << 31)) / (F.shiftright(nhi, 1) + 1).cast("double")))
         on = F.struct(
             nhi.alias("hi"), nlo.alias("lo"), far.alias("j"),
             F.when(s["j"] < shards, s["j"]).otherwise(s["shard"]).alias("shard"), s["j"].alias("grown"),
-            F.when(i == 0, nhi.bitwiseAND(F.lit(BUCKETS - 1))).otherwise(s["bucket"]).alias("bucket"),
         )
         return F.when(s["j"] <= shards, on).otherwise(s)
 
     steps = F.sequence(F.lit(0), F.lit(shards))
-    return F.aggregate(steps, start, jump, lambda s: F.struct(s["shard"].cast("int").alias("shard"), s["grown"].cast("int").alias("grown"), s["bucket"].cast("int").alias("bucket")))
+    return F.aggregate(steps, start, jump, lambda s: F.struct(s["shard"].cast("int").alias("shard"), s["grown"].cast("int").alias("grown")))
 
 
 def assign(df: DataFrame, key: str, shards: int, order: list[str]) -> DataFrame:
     """df with shard, grown_shard and slot; slots of a shard go by bucket, then by key and ``order``."""
-    marked = df.withColumn("_j", jump_hash(F.col(key), shards)).withColumns({"shard": F.col("_j.shard"), "grown_shard": F.col("_j.grown"), "_b": F.col("_j.bucket")}).drop("_j")
-    counts = df.select(jump_hash(F.col(key), shards).alias("_j")).groupBy(F.col("_j.shard").alias("shard"), F.col("_j.bucket").alias("_b")).agg(F.count("*").alias("_n"))
+    bucket = F.pmod(F.xxhash64(key, *order), F.lit(BUCKETS)).cast("int")
+    marked = df.withColumn("_j", jump_hash(F.col(key), shards)).withColumns({"shard": F.col("_j.shard"), "grown_shard": F.col("_j.grown"), "_b": bucket}).drop("_j")
+    counts = marked.groupBy("shard", "_b").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("shard").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
     inside = Window.partitionBy("shard", "_b").orderBy(key, *order)

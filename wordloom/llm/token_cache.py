@@ -8,7 +8,10 @@ vocabulary never meets old counts.  Texts whose digests the cache lacks are
 brought together by digest, each distinct one is encoded once, and the new
 counts are appended to the cache before the answer is joined from it.
 
-Null text counts as empty (no tokens).  Repeated texts are encoded once.
+Null text counts as empty (no tokens).  Repeated texts are encoded once, their
+rows returned apiece; equal digests are equal texts, so no tie is left open.
+An empty table gives an empty table.  Only doc_id and text are read, whatever
+other columns are named.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,15 +43,16 @@ def tokenizer_digest(path: str) -> str:
 
 def new_cache(spark: SparkSession) -> str:
     """The path of an empty cache in the shared folder."""
-    return f"{shared_dir(spark)}/wordloom/token-cache-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/token-cache-{uuid.uuid4().hex}"
 
 
 def _read(spark: SparkSession, path: str) -> DataFrame:
-    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    if not where.getFileSystem(hadoop).exists(where):
+    try:
+        return spark.read.schema(CACHE_SCHEMA).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], CACHE_SCHEMA)
-    return spark.read.schema(CACHE_SCHEMA).parquet(path)
 
 
 def _encode_misses(path: str, tokenizer: str):
