@@ -8,11 +8,12 @@ Two texts link when the Jaccard similarity of their sets of word shingles is
 2. Every word has the keys of ``simhash`` (an exact part and the codewords near
    a segment); words that share a key and differ in at most ``NEAR_BITS`` bits
    give a candidate pair of nodes, kept if the whole sketches differ in at
-   most ``SKETCH_BITS``.  A pair of similarity 0.8 differs in 15 bits of a
-   hundred and shares a key of one word 4 times in ten, of any of eight words 98
-   times in a hundred; at 0.85 and 0.9 that is 99 and more (simulated; the
-   tests measure it).  A bucket of over ``max_bucket`` words goes to step 3
-   whole, as a star, whatever the bits say.
+   most ``SKETCH_BITS``.  Of a dense family only trees and what joins them are
+   kept.  A pair of similarity 0.8 differs in 15 bits of a hundred and shares a
+   key of one word 4 times in ten, of any of eight words 98 times in a hundred;
+   at 0.85 and 0.9 that is 99 and more (simulated; the tests measure it).  A
+   bucket of over ``max_bucket`` words goes to step 3 whole, as a star,
+   whatever the bits say.
 3. The nodes of each component of candidates meet in a task with their
    shingles, and links are found among all of them (not only the candidates)
    by prefix filter and verified on the whole sets.  A component of over
@@ -42,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.llm.common import content_key, materialize, text_of, unused
-from wordloom.llm.components import connected_components
+from wordloom.llm.components import PART_EDGES, connected_components
 from wordloom.llm.simhash import MAX_BUCKET, _pairs, _runs, bucket_keys, shingle_hashes, spanning_links
 from wordloom.llm.windows import mix
 
@@ -51,6 +52,8 @@ SHINGLE = 5
 #: Words of a sketch (at most 8: the number of a word takes three bits of a key), and bits in which a word, and all of a sketch, may differ.
 WORDS, NEAR_BITS, SKETCH_BITS = 8, 12, 128
 MAX_SET = 4_000_000
+#: Bits of a word up to which a candidate stands for the others of its tree.
+SAME_BITS = 6
 #: Pairs that a task remembers as sent.
 _SENT = 500_000
 _KEY = ["none", "id", "k", "k2"]
@@ -150,12 +153,46 @@ def _candidates(max_bucket: int):
     return emit
 
 
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the candidates (k, a, b, sure) of a part those that say something new: a dense family has far more than words.
+
+    Words that differ in few bits (``SAME_BITS``) grow trees, of which the links stay; other candidates stay where they
+    join two trees, as do those of stars.
+    """
+    rows = list(batches)
+    if not rows:
+        return
+    table = pa.Table.from_batches(rows)
+    k, a, b, sure = (table.column(i).to_numpy() for i in range(4))
+    close = np.bitwise_count((a ^ b).view(np.uint64)) <= SAME_BITS
+    up: dict[tuple[int, int], tuple[int, int]] = {}
+
+    def top(x: tuple[int, int]) -> tuple[int, int]:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = up[y]
+            x = up[x]
+        return x
+
+    keep = np.array(sure)
+    for tight in (True, False):
+        at = np.flatnonzero((close == tight) & ~sure)
+        for i, word, x, y in zip(at.tolist(), k[at].tolist(), a[at].tolist(), b[at].tolist()):
+            x, y = top((word, x)), top((word, y))
+            if x != y:
+                keep[i] = True
+                if tight:
+                    up[x] = y
+    yield from table.filter(pa.array(keep)).to_batches()
+
+
 def candidates(nodes: DataFrame, max_bucket: int) -> DataFrame:
     """(a, b): nodes of (node, w0, ...) whose sketches say that they may be similar, and stars of what is in one large bucket."""
     words = nodes.select("node", F.posexplode(F.array(*_WORDS)).alias("k", "fp"))
     heads = materialize(words.groupBy("k", "fp").agg(F.min("node").alias("head")), "words")
     found = heads.select("k", "fp").mapInArrow(_spread, "key int, fp long").repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_candidates(max_bucket), "k int, a long, b long, sure boolean")
-    pairs = materialize(found, "candidates").distinct()
+    pairs = materialize(found, "candidates")
+    parts = max(2, -(-pairs.count() // PART_EDGES))
+    pairs = materialize(pairs.repartition(parts).mapInArrow(_contracted, pairs.schema).distinct(), "candidates")
     ends = [heads.select("k", F.col("fp").alias(x), F.col("head").alias(f"n{x}")) for x in "ab"]
     near = pairs.join(ends[0], ["k", "a"]).join(ends[1], ["k", "b"]).select(F.col("na").alias("a"), F.col("nb").alias("b"), "sure")
     same = words.join(heads, ["k", "fp"]).select(F.col("head").alias("a"), F.col("node").alias("b"), F.lit(False).alias("sure"))
