@@ -5,6 +5,14 @@ Each stage takes (spark, docs, sf_dir); all but the last return the columns of
 each group stays, that with the smallest doc_id), suffix-array dedup (covered
 bytes go from the text), benchmark decontamination (documents that hold an
 item go), packing.
+
+Each row is judged on its own text, so rows without doc_id, and rows of one
+doc_id and different texts, stay apart; null text is empty, and an empty text
+fails the quality rules.  Of rows of one doc_id and one text one stays.  Among
+equal texts and near copies the row with the smallest doc_id stays, rows
+without one coming last in the order of a hash of their text.  A text that is
+repeats throughout stays as an empty one.  An empty table gives an empty one;
+columns beside those of documents pass through all stages but the last.
 """
 
 from __future__ import annotations
