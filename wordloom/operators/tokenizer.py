@@ -193,10 +193,23 @@ class Tokenizer:
         pairs = [(t, self._normal.normalize(t.content) if t.normalized else t.content) for t in self.added_tokens]
         return [(t, c) for t, c in pairs if c]
 
+    @cached_property
+    def _first(self) -> re.Pattern | None:
+        """Characters that an added token can begin with; None where a normalized one may begin with any."""
+        if any(t.normalized for t, _ in self._matchable):
+            return None
+        chars = {c[0] for _, c in self._matchable} | (set(WIDE_SPACES) if any(t.lstrip for t, _ in self._matchable) else set())
+        return re.compile("[" + "".join(map(re.escape, sorted(chars))) + "]")
+
     def added_matches(self, text: str) -> list[tuple[int, int, AddedToken]]:
         """At each place the token that spans most, of those the one declared first."""
         out, at, n = [], 0, len(text)
         while at < n and self._matchable:
+            if self._first is not None:
+                hit = self._first.search(text, at)
+                if hit is None:
+                    break
+                at = hit.start()
             best = None
             for token, content in self._matchable:
                 start = at
