@@ -32,11 +32,11 @@ from wordloom.llm import quality_rules
 from wordloom.llm.common import ASCII_LOWER, ASCII_UPPER, in_hash_order, materialize, smallest_hashes
 
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-SAMPLE = 8_000
+#: URLs that teach the trees, and labelled documents that teach the rules behind their labels.
+SAMPLE, DOC_SAMPLE = 8_000, 8_000
 TREES, DEPTH, RATE = 40, 3, 0.3
 SUFFIXES = 64
 FEATURES = ("url_len", "host_len", "path_len", "depth", "labels", "hyphens", "digits", "entropy", "params", "query_len", "suffix_rate")
-_CHARS = "abcdefghijklmnopqrstuvwxyz0123456789-._:@%"
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -62,17 +62,18 @@ def with_features(df: DataFrame) -> DataFrame:
     url = F.coalesce("url", F.lit(""))
     query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
     n = F.char_length("host")
-    entropy = F.lit(0.0)
-    for c in _CHARS:
-        share = F.regexp_count("host", F.lit("\\" + c if c in "-." else c)) / F.greatest(n, F.lit(1))
-        entropy = entropy - F.when(share > 0, share * F.log2(share)).otherwise(0.0)
-    return df.withColumns({
+    # the characters of the host, and how often each stands there
+    marked = df.withColumn("chars", F.filter(F.split("host", ""), lambda c: c != ""))
+    counted = marked.withColumn("counts", F.transform(F.array_distinct("chars"), lambda c: F.size(F.filter("chars", lambda x: x == c)).cast("double"))).drop("chars")
+    told = F.aggregate("counts", F.lit(0.0), lambda a, c: a + c * F.log2(c))
+    entropy = F.when(F.size("counts") > 0, F.log2(n) - told / n).otherwise(0.0)
+    return counted.withColumns({
         "url_len": F.char_length(url).cast("double"), "host_len": n.cast("double"), "path_len": F.char_length("path").cast("double"),
         "depth": F.regexp_count("path", F.lit("/[^/]")).cast("double"), "labels": F.regexp_count("host", F.lit(r"\.")).cast("double"),
         "hyphens": F.regexp_count("host", F.lit("-")).cast("double"), "digits": F.regexp_count(url, F.lit("[0-9]")) / F.greatest(F.char_length(url), F.lit(1)),
         "entropy": entropy, "params": F.when(query == "", 0.0).otherwise(F.regexp_count(query, F.lit("&")) + 1.0), "query_len": F.char_length(query).cast("double"),
         "suffix": F.regexp_extract("host", r"([^.]*)$", 1),
-    })
+    }).drop("counts")
 
 
 class Trees:
@@ -174,11 +175,11 @@ def page_text(html: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(bare, r"(?i)</?(p|div|h[1-6]|li|br|tr|article|section)\b[^>]*>", "\n"), r"<[^>]*>", " ")
 
 
-def labels_of_pages(pages: DataFrame, docs: DataFrame, doc_labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def labels_of_pages(pages: DataFrame, docs: DataFrame, doc_labels: DataFrame, sample: int = SAMPLE, doc_sample: int = DOC_SAMPLE) -> DataFrame:
     """(url, blocked) for a bounded sample of the pages' URLs (page_id, url, html): whether the page's text fails rules learned from docs (doc_id, text) and doc_labels (doc_id, quality)."""
-    known = quality_rules.sample_of(doc_labels, quality_rules.SAMPLE)
+    known = materialize(quality_rules.sample_of(doc_labels, doc_sample), "known")
     marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known.select("doc_id")), "doc_id", "left_semi")
-    rules = quality_rules.fit(quality_rules.statistics(marked), doc_labels)
+    rules = quality_rules.fit(quality_rules.statistics(marked), known, doc_sample)
     named = pages.where("url is not null").select("url", page_text(F.col("html")).alias("text"))
     near = smallest_hashes(named, ["url"], sample).withColumn("doc_id", F.lit(0))
     judged = quality_rules.statistics(near, ("url",)).select("url", (quality_rules.base_failed() | quality_rules.verdict(rules).isNotNull()).alias("blocked"))
