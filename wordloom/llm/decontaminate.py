@@ -9,8 +9,9 @@ Aho-Corasick pass over each whole text, and the place around a hit is verified
 with Myers' bit-parallel edit distance.
 
 Items are a query set held against all texts in blocks of at most
-``block_chars`` characters; a task holds one block at a time, whatever the
-size of the benchmark.
+``block_chars`` characters.  The texts are read once: a task holds some of them
+(``HELD_BYTES``) and takes one block after another to them, so that it has one
+block's automaton at a time, whatever the size of the benchmark.
 
 An item without a budget (fewer than ``chars_per_error`` characters) must
 stand as whole words; a longer one may begin or end inside a word.
@@ -30,6 +31,7 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +39,7 @@ from wordloom.llm.common import text_of
 
 CHARS_PER_ERROR = 16
 BLOCK_CHARS = 4_000_000
+HELD_BYTES = 32_000_000
 _SCHEMA = "doc_id long, item_id long, distance int, item_chars int, end_char long"
 _KINDS = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
 _NAMES = ["doc_id", "item_id", "distance", "item_chars", "end_char"]
@@ -172,39 +175,55 @@ def _blocks(items: DataFrame, block_chars: int) -> Iterator[list[tuple[int, str]
         yield block
 
 
+def _sent(items: DataFrame, block_chars: int) -> list[tuple[str, Broadcast]]:
+    """The blocks of items, each of bounded size, as broadcasts with names of their own."""
+    context = items.sparkSession.sparkContext
+    return [(uuid.uuid4().hex, context.broadcast(block)) for block in _blocks(items, block_chars)]
+
+
+def _held(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[pa.RecordBatch]]:
+    """Runs of batches of about ``most`` bytes together."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, chars_per_error: int = CHARS_PER_ERROR, max_errors: int | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, item_id, distance, item_chars, end_char for every text of docs (doc_id, text) and item (item_id, text) that match.
 
     distance is the smallest over the text; end_char is where that place ends in the normalised text.
     """
-    spark = docs.sparkSession
+    blocks = _sent(items, block_chars)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    out = spark.createDataFrame([], _SCHEMA)
-    for block in _blocks(items, block_chars):
-        sent, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
-        def emit(batches: Iterator[pa.RecordBatch], sent=sent, name=name) -> Iterator[pa.RecordBatch]:
-            matcher = _matcher(name, sent, chars_per_error, max_errors)
-            for batch in batches:
-                rows = [(doc, *found) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)) for found in matcher.matches(text.as_py())]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), _KINDS)], names=_NAMES)
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _held(batches, HELD_BYTES):
+            for name, sent in blocks:
+                matcher = _matcher(name, sent, chars_per_error, max_errors)
+                for batch in held:
+                    rows = [(doc, *found) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)) for found in matcher.matches(text.as_py())]
+                    if rows:
+                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), _KINDS)], names=_NAMES)
 
-        out = out.unionByName(own.mapInArrow(emit, _SCHEMA))
-    return out
+    return own.mapInArrow(emit, _SCHEMA)
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, chars_per_error: int = CHARS_PER_ERROR, max_errors: int | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """docs (all columns) without the rows whose text holds an item; nothing is shuffled."""
+    blocks = _sent(items, block_chars)
     at = docs.columns.index("text")
-    for block in _blocks(items, block_chars):
-        sent, name = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
 
-        def clean(batches: Iterator[pa.RecordBatch], sent=sent, name=name) -> Iterator[pa.RecordBatch]:
-            matcher = _matcher(name, sent, chars_per_error, max_errors)
-            for batch in batches:
-                keep = [not matcher.matches(text or "") for text in batch.column(at).to_pylist()]
-                yield batch.filter(pa.array(keep, pa.bool_()))
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _held(batches, HELD_BYTES):
+            for name, sent in blocks:
+                matcher = _matcher(name, sent, chars_per_error, max_errors)
+                held = [batch.filter(pa.array([not matcher.matches(text or "") for text in batch.column(at).to_pylist()], pa.bool_())) for batch in held]
+            yield from held
 
-        docs = docs.mapInArrow(clean, docs.schema)
-    return docs
+    return docs.mapInArrow(clean, docs.schema)
