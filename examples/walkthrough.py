@@ -50,7 +50,7 @@ def walk(spark: SparkSession) -> dict[str, DataFrame]:
 
     sql.register(spark, tok, "walk")
     texts.createOrReplaceTempView("walk_texts")
-    steps["sql"] = spark.sql("SELECT id, walk_count(text) AS n, t.* FROM walk_texts, LATERAL walk_explode(text) t")
+    steps["sql"] = spark.sql("SELECT w.id AS text_id, walk_count(w.text) AS n, t.* FROM walk_texts w, LATERAL walk_explode(w.text) t")
 
     streams = texts.select("id", E.token_ids("text", tok).alias("ids"))
     steps["stream"] = stream_decode_arrays(streams, "id", "ids", tok)
