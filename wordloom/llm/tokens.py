@@ -25,7 +25,7 @@ _PLAIN = re.compile("[\t\n\r -~\u00a0-\u00b1\u00b4-\u00b8\u00ba\u00bb\u00bf-\u02
 _NOT_PLAIN = r"[^\t\n\r -~\x{a0}-\x{b1}\x{b4}-\x{b8}\x{ba}\x{bb}\x{bf}-\x{12f}\x{131}-\x{24f}\x{2010}-\x{2027}\x{2030}-\x{205e}\x{20ac}]"
 _PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 #: Chunks that a worker remembers with their ids, and chunks that are encoded as one text.
-_CACHE, _JOINED = 400_000, 500
+_CACHE, _JOINED = 800_000, 500
 
 
 def default_path(name: str) -> str:
@@ -124,11 +124,14 @@ class WordEncoder:
         distinct = chunks.dictionary
         if len(self.known) > _CACHE:
             self._forget()
-        new = distinct.filter(pc.and_(pc.is_null(pc.index_in(distinct, value_set=self.known)), pc.not_equal(distinct, "")))
-        if len(new):
-            self._learn(new)
+        place = pc.fill_null(pc.index_in(distinct, value_set=self.known), -1).to_numpy(zero_copy_only=False).copy()
+        empty = pc.equal(distinct, "").to_numpy(zero_copy_only=False)
+        fresh = (place < 0) & ~empty
+        if fresh.any():
+            place[fresh] = len(self.known) + np.arange(int(fresh.sum()))
+            self._learn(distinct.filter(pa.array(fresh)))
         # empty chunks (at the ends of a text) get the place behind the last one, without ids
-        place = pc.fill_null(pc.index_in(distinct, value_set=self.known), len(self.known)).to_numpy(zero_copy_only=False)
+        place[empty] = len(self.known)
         start, size = self.edge[np.minimum(place, len(self.known))], np.append(np.diff(self.edge), 0)[place]
         at = chunks.indices.to_numpy(zero_copy_only=False)
         sizes = size[at]
