@@ -25,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import content_key, in_hash_order, materialize, smallest_hashes, text_of, unused
+from wordloom.llm.common import in_hash_order, materialize, smallest_hashes, text_of
 
 SAMPLE = 20_000
 MIN_WORDS = 50
@@ -174,11 +174,20 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
+def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[list[Condition]]:
+    """Rules from the labelled ones of docs (doc_id, text): statistics of those of the sample only, whose ids are sent to all tasks."""
+    known = materialize(sample_of(labels, sample), "known")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return fit(statistics(own.join(F.broadcast(known.select("doc_id")), "doc_id", "left_semi")), known, sample)
+
+
 def judge(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, also: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, rule and the columns ``also`` of each row of docs."""
-    stats = materialize(statistics(docs, also), "statistics")
-    rules = fit(stats, labels, sample)
-    out = stats.select("*", base_failed().alias("base_failed"), verdict(rules).alias("rule"))
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, rule and the columns ``also`` of each row of docs.
+
+    Nothing is shuffled but the sample: the rules are learned first and judge each row where it is read.
+    """
+    rules = learned(docs, labels, sample)
+    out = statistics(docs, also).select("*", base_failed().alias("base_failed"), verdict(rules).alias("rule"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.col("rule").isNull()).alias("kept"), "rule", *also)
 
 
@@ -187,10 +196,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataF
 
     Each row is judged on its own text, whatever other rows have its doc_id or have none.
     """
-    keys = content_key(text_of())
-    k, k2, bad_id, bad_k, bad_k2 = unused(docs, "k", "k2", "bad", "b", "b2")
-    own = docs.withColumns({k: keys[0], k2: keys[1]})
-    bad = judge(own.select("doc_id", "text", F.col(k).alias("_key"), F.col(k2).alias("_key2")), labels, sample, ("_key", "_key2")).where("not kept")
-    bad = bad.select(F.col("doc_id").alias(bad_id), F.col("_key").alias(bad_k), F.col("_key2").alias(bad_k2)).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col(bad_id)) & (F.col(k) == F.col(bad_k)) & (F.col(k2) == F.col(bad_k2))
-    return own.join(bad, same, "left_anti").select(*[F.col(f"`{x}`") for x in docs.columns])
+    rows = docs.select("doc_id", "text", F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("_row"))
+    # a filter that is pushed below the statistics would compute them anew for each of its terms; none is pushed below a row's number
+    kept = judge(rows, labels, sample, ("_row",)).withColumn("_n", F.monotonically_increasing_id()).where("kept and _n >= 0")
+    return kept.select(*[F.col("_row")[x].alias(x) for x in docs.columns])

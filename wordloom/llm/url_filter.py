@@ -177,9 +177,7 @@ def page_text(html: Column) -> Column:
 
 def labels_of_pages(pages: DataFrame, docs: DataFrame, doc_labels: DataFrame, sample: int = SAMPLE, doc_sample: int = DOC_SAMPLE) -> DataFrame:
     """(url, blocked) for a bounded sample of the pages' URLs (page_id, url, html): whether the page's text fails rules learned from docs (doc_id, text) and doc_labels (doc_id, quality)."""
-    known = materialize(quality_rules.sample_of(doc_labels, doc_sample), "known")
-    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known.select("doc_id")), "doc_id", "left_semi")
-    rules = quality_rules.fit(quality_rules.statistics(marked), known, doc_sample)
+    rules = quality_rules.learned(docs, doc_labels, doc_sample)
     named = pages.where("url is not null").select("url", page_text(F.col("html")).alias("text"))
     near = smallest_hashes(named, ["url"], sample).withColumn("doc_id", F.lit(0))
     judged = quality_rules.statistics(near, ("url",)).select("url", (quality_rules.base_failed() | quality_rules.verdict(rules).isNotNull()).alias("blocked"))
