@@ -64,7 +64,7 @@ _BAD = frozenset(
 #: Words of boilerplate around an article that may name parts of its text inside.
 _OUTSIDE = frozenset("promotion reply discussion rail foot trending login search hidden skip copyright legal disclaimer tags".split())
 #: Words that say nothing of what is inside.
-_NEUTRAL = frozenset("area bar bottom box block button buttons card col column container content count div el element form group header heading holder icon inner item items js l left link links list main module outer page panel post posts region right row section site slot space sticky text thread title top unit user view wp wrap wrapper x zone".split())
+_NEUTRAL = frozenset("all area article articles author bar body bottom box block button buttons card col column container content count desktop div el element follow form global google group header heading holder icon icons info inner item items js l latest left link links list main media message meta mobile module more new news outer page panel policy popular post posts recent region right row section settings site slot space sticky stories story text thread title top unit user video videos view wp wrap wrapper x zone".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar toolbar".split())
 _DIGITS = re.compile(r"\d+")
 
