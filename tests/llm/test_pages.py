@@ -188,6 +188,14 @@ def test_learned_verdicts_hold_out(spark):
     assert np.mean([got[i] == bad for i, (_, bad) in enumerate(held)]) > 0.97
 
 
+def test_no_trees_where_the_features_say_nothing(spark):
+    r = random.Random(13)
+    known = [(f"http://{''.join(r.choice('abcdefgh') for _ in range(r.randrange(4, 12)))}.example/{i}", r.random() < 0.2) for i in range(1500)]
+    fresh = [(i, f"http://{''.join(r.choice('abcdefgh') for _ in range(r.randrange(4, 12)))}.example/x{i}", None) for i in range(500)]
+    got = url_filter.judge_urls(pages(spark, fresh), (), spark.createDataFrame(known, "url string, blocked boolean")).collect()
+    assert {x["verdict"] for x in got} == {"allow"}
+
+
 def test_trees_column_is_predict(spark):
     g = np.random.default_rng(0)
     x = g.random((300, len(url_filter.FEATURES))).round(3)

@@ -5,6 +5,8 @@ expression.  URLs that no rule fits go to boosted regression trees over
 length, depth, digit ratio, entropy, parameter counts and suffix statistics.
 The trees are fitted on the driver to a bounded sample (``SAMPLE`` distinct
 URLs of smallest hash) of labelled URLs, and applied as nested conditionals.
+A third of the sample, held out, tells how many trees are worth keeping: none
+where the features say nothing of the labels.
 
 Labels are given as a table (url, blocked).  ``labels_of_pages`` makes one
 from what the pages say: a URL is blocked where the text of its page fails the
@@ -123,6 +125,19 @@ class Trees:
     def predict(self, x: np.ndarray) -> np.ndarray:
         return self.base + sum((self._apply(t, x) for t in self.trees), np.zeros(len(x)))
 
+    def best_count(self, x: np.ndarray, y: np.ndarray) -> int:
+        """Of how many of the first trees the logarithmic loss on other rows is smallest."""
+
+        def loss(score: np.ndarray) -> float:
+            return float(np.logaddexp(0, np.where(y > 0, -score, score)).mean())
+
+        score = np.full(len(y), self.base)
+        losses = [loss(score)]
+        for tree in self.trees:
+            score = score + self._apply(tree, x)
+            losses.append(loss(score))
+        return int(np.argmin(losses))
+
     def column(self) -> Column:
         """The summed score as an expression over FEATURES."""
 
@@ -138,22 +153,34 @@ class Trees:
         return out
 
 
+def _blocked(rows: list) -> np.ndarray:
+    return np.array([float(r[-1]) for r in rows])
+
+
 class UrlModel:
     """Suffix statistics and trees from labelled rows of (FEATURES[:-1], suffix, blocked)."""
 
     def __init__(self, rows: list):
-        y = np.array([float(r[-1]) for r in rows])
-        prior = float(y.mean()) if len(y) else 0.5
+        # as many trees as serve rows that they have not seen: none where the features tell nothing
+        seen, held = [r for i, r in enumerate(rows) if i % 3], rows[::3]
+        self._count_suffixes(seen)
+        first = Trees(self._matrix(seen), _blocked(seen))
+        count = first.best_count(self._matrix(held), _blocked(held)) if held else 0
+        self._count_suffixes(rows)
+        self.trees = Trees(self._matrix(rows), _blocked(rows), count)
+
+    def _count_suffixes(self, rows: list) -> None:
+        self.prior = float(_blocked(rows).mean()) if rows else 0.5
         tally: dict[str, list[float]] = {}
         for r in rows:
             t = tally.setdefault(r[-2], [0.0, 0.0])
             t[0] += r[-1]
             t[1] += 1
         common = sorted(tally, key=lambda s: (-tally[s][1], s))[:SUFFIXES]
-        self.prior = prior
-        self.rate = {s: (tally[s][0] + 20 * prior) / (tally[s][1] + 20) for s in common}
-        x = np.array([[*map(float, r[:-2]), self.rate.get(r[-2], prior)] for r in rows]).reshape(len(rows), len(FEATURES))
-        self.trees = Trees(x, y)
+        self.rate = {s: (tally[s][0] + 20 * self.prior) / (tally[s][1] + 20) for s in common}
+
+    def _matrix(self, rows: list) -> np.ndarray:
+        return np.array([[*map(float, r[:-2]), self.rate.get(r[-2], self.prior)] for r in rows]).reshape(len(rows), len(FEATURES))
 
     def suffix_rate(self) -> Column:
         out = None
