@@ -41,7 +41,7 @@ from wordloom.llm.common import content_key, materialize, text_of, unused
 from wordloom.llm.windows import mix, prefix_sums, rolling, runs, span_hash
 
 KGRAM = 64
-#: Bytes that go through one transform, which takes about 80 times as many of memory; a group of up to MAX_GROUP is never cut.
+#: Bytes that go through one transform, which takes about 100 times as many of memory; only a group on its own, of up to MAX_GROUP, may pass it.
 BATCH = 1_000_000
 #: Runs that a task settles at once, and those of one anchor group from which on it is settled in parts.
 RUN_ROWS, HUGE_ROWS = 400_000, 2_000_000
@@ -328,6 +328,18 @@ def _settle_contexts(min_len: int, kgram: int, batch_bytes: int):
         group: list[tuple] = []
         h0, last = None, None
         windows = _Windows(min_len)
+
+        def close(group: list[tuple]) -> Iterator[pa.RecordBatch]:
+            """The group waits with others; those that would pass ``batch_bytes`` together with it are expanded before."""
+            nonlocal ready, ready_bytes
+            more = _may_repeat(group, min_len, kgram)
+            size = sum(len(r[4]) + 1 for r in more)
+            if ready_bytes + size > batch_bytes:
+                yield from expand(ready)
+                ready, ready_bytes = [], 0
+            ready += more
+            ready_bytes += size
+
         for batch in batches:
             alone = pc.is_null(batch.column(6))
             if alone.true_count:
@@ -338,15 +350,10 @@ def _settle_contexts(min_len: int, kgram: int, batch_bytes: int):
                     continue  # a copy of a text from another task
                 last = (h, k, k2, s)
                 if h != h0:
-                    more = _may_repeat(group, min_len, kgram)
-                    ready += more
-                    ready_bytes += sum(len(r[4]) + 1 for r in more)
-                    if ready_bytes > batch_bytes:
-                        yield from expand(ready)
-                        ready, ready_bytes = [], 0
+                    yield from close(group)
                     group, h0 = [], h
                 group.append((k, k2, s, n, b))
-        ready += _may_repeat(group, min_len, kgram)
+        yield from close(group)
         yield from expand(ready)
 
     return settle
