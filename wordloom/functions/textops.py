@@ -6,11 +6,11 @@ import re
 from dataclasses import replace
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
-from pyspark.sql.functions import pandas_udf
 
+from wordloom.functions.slices import sliced
 from wordloom.model import MARK, NormalizerSpec, PreTokenizerSpec, Unsupported
 from wordloom.sources.charsmap import Charsmap
 
@@ -56,12 +56,14 @@ def replace_all(text: Column, pattern: str, replacement: str) -> Column:
 def charsmap_column(text: Column, blob: bytes) -> Column:
     """A character map, through Arrow batches."""
 
-    @pandas_udf(StringType())
-    def run(s):
-        own = Charsmap.parse(blob)
-        return s.map(own.normalize, na_action="ignore")
+    held: list[Charsmap] = []
 
-    return run(text)
+    def run(batch: pa.Array) -> pa.Array:
+        if not held:
+            held.append(Charsmap.parse(blob))
+        return pa.array([None if t is None else held[0].normalize(t) for t in batch.to_pylist()], pa.string())
+
+    return sliced("string", run)(text)
 
 
 def normalize(text: Column, spec: NormalizerSpec) -> Column:
