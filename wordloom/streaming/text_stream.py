@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
+from wordloom.functions.slices import cut
 from wordloom.functions.textops import _java
 from wordloom.model import BYTE, MARK
 from wordloom.operators.tokenizer import Tokenizer, code_units
@@ -203,17 +204,18 @@ def stream_decode_arrays(df: DataFrame, key: str, ids: str, tok: Tokenizer, skip
         row: list[tuple[str, bool]] = []
         streamer = TextStreamer(shared.tok, skip_special, skip_prompt, prompt_length, lambda text, last: row.append((text, last)))
         for batch in batches:
-            for k, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if tokens is None:
-                    continue
-                for x in tokens:
-                    streamer.put(x)
-                streamer.end()
-                out.extend((k, i, text, last) for i, (text, last) in enumerate(row))
-                row.clear()
-                if len(out) > 10_000:
-                    yield _arrow(out, batch.column(0).type)
-                    out.clear()
+            for keys, ids in cut(tuple(batch.columns)):
+                for k, tokens in zip(keys.to_pylist(), ids.to_pylist()):
+                    if tokens is None:
+                        continue
+                    for x in tokens:
+                        streamer.put(x)
+                    streamer.end()
+                    out.extend((k, i, text, last) for i, (text, last) in enumerate(row))
+                    row.clear()
+                    if len(out) > 10_000:
+                        yield _arrow(out, batch.column(0).type)
+                        out.clear()
             if out:
                 yield _arrow(out, batch.column(0).type)
                 out.clear()
