@@ -44,8 +44,13 @@ def empty() -> Column:
     return _each(lambda f: F.array())
 
 
-def content(tokens: Column, ids: Column, offsets: Column, word_ids: Column, type_id: Int = 0, sequence_id: Int | None = None) -> Column:
-    """Content tokens from parallel arrays."""
+def content(tokens: Column, ids: Column, offsets: Column, word_ids: Column, type_id: Int = 0, sequence_id: Int | None = None, n: Column | None = None) -> Column:
+    """Content tokens from parallel arrays.
+
+    Where their number is given, the fields are made in place, each from its own array, and nothing is held or copied.
+    """
+    if n is not None:
+        return F.struct(*[of.alias(f) for f, of in zip(FIELDS, (tokens, ids, F.array_repeat(_int(type_id), n), F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), n), offsets, word_ids, F.array_repeat(_int(type_id if sequence_id is None else sequence_id), n)))])
 
     def body(s: Column) -> Column:
         n = F.size(s["ids"])
@@ -66,19 +71,36 @@ def joined(*encodings: Column) -> Column:
     return let(bound, lambda s: _each(lambda f: F.concat(*[s[f"e{i}"][f] for i in range(len(encodings))])))
 
 
+def joined_in_place(*encodings: Column, fields: tuple[str, ...] = FIELDS) -> Column:
+    """The same of structs that are made in place, or of some of their fields: what is not asked for is not made."""
+    return F.struct(*[F.concat(*[e[f] for e in encodings]).alias(f) for f in fields])
+
+
 def length(enc: Column | str) -> Column:
     """C8"""
     return F.size(_col(enc)["ids"])
 
 
-def with_padding(enc: Column | str, target: Int, pad_id: int, pad_token: str = "[PAD]", right: bool = True, pad_type_id: int = 0) -> Column:
-    """P1"""
+def with_padding(enc: Column | str, target: Int, pad_id: int, pad_token: str = "[PAD]", right: bool = True, pad_type_id: int = 0, fields: tuple[str, ...] = FIELDS) -> Column:
+    """Of a named column in place, with no interpreted step; of an expression, which is computed once."""
+    if isinstance(enc, str):
+        return _padded_column(F.col(enc), target, pad_id, pad_token, right, pad_type_id, fields)
     return let(_col(enc), lambda e: _padded(e, target, pad_id, pad_token, right, pad_type_id))
 
 
-def _padded(e: Column, target: Int, pad_id: int, pad_token: str, right: bool, pad_type_id: int) -> Column:
+def _fill(pad_id: int, pad_token: str, pad_type_id: int) -> dict[str, Column]:
     null = F.lit(None).cast("int")
-    fill = dict(zip(FIELDS, (F.lit(pad_token), F.lit(pad_id), F.lit(pad_type_id), F.lit(0), F.lit(1), _no_span(), null, null)))
+    return dict(zip(FIELDS, (F.lit(pad_token), F.lit(pad_id), F.lit(pad_type_id), F.lit(0), F.lit(1), _no_span(), null, null)))
+
+
+def _padded_column(e: Column, target: Int, pad_id: int, pad_token: str, right: bool, pad_type_id: int, fields: tuple[str, ...] = FIELDS) -> Column:
+    fill, missing = _fill(pad_id, pad_token, pad_type_id), F.greatest(_int(target) - length(e), F.lit(0))
+    pads = {f: F.array_repeat(fill[f], missing) for f in fields}
+    return F.when(e.isNotNull(), F.struct(*[F.concat(*((e[f], pads[f]) if right else (pads[f], e[f]))).alias(f) for f in fields]))
+
+
+def _padded(e: Column, target: Int, pad_id: int, pad_token: str, right: bool, pad_type_id: int) -> Column:
+    fill = _fill(pad_id, pad_token, pad_type_id)
 
     def filled(missing: Column) -> Column:
         pads = {f: F.array_repeat(fill[f], missing) for f in FIELDS}
@@ -91,6 +113,8 @@ def pad_to_multiple(enc: Column | str, multiple: int, pad_id: int, pad_token: st
     """P2"""
     if multiple <= 0:
         return _col(enc)
+    if isinstance(enc, str):
+        return _padded_column(F.col(enc), round_up(length(enc), multiple), pad_id, pad_token, right, pad_type_id)
     return let(_col(enc), lambda e: _padded(e, round_up(length(e), multiple), pad_id, pad_token, right, pad_type_id))
 
 
@@ -98,26 +122,26 @@ def round_up(n: Column, multiple: int | None) -> Column:
     return n + F.pmod(-n, F.lit(multiple)) if multiple and multiple > 0 else n
 
 
-def pad_to_longest(df: DataFrame, enc: str, pad_id: int, pad_token: str = "[PAD]", right: bool = True, pad_type_id: int = 0, batch_by: str | None = None, size: int | None = None, multiple: int | None = None, length_of: Column | None = None, made: Column | None = None) -> DataFrame:
+def pad_to_longest(df: DataFrame, enc: str, pad_id: int, pad_token: str = "[PAD]", right: bool = True, pad_type_id: int = 0, batch_by: str | None = None, size: int | None = None, multiple: int | None = None, length_of: Column | None = None, made: Column | None = None, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """To a fixed size, or to the longest encoding of the whole table or of each batch.
 
     Maxima are found first, from ``length_of`` where it is given (a cheaper way to the lengths than the encodings
     themselves).  Up to ``BROADCAST_BATCHES`` of them are sent to the encodings, which are then not exchanged at all;
     of more, both sides meet by batch.  ``made`` is what the column is made of where it is not there yet: it is made
-    when the lengths have met the rows, which then are exchanged without it.
+    when the lengths have met the rows, which then are exchanged without it.  Of the padded encodings only ``fields`` are made.
     """
     made = F.col(enc) if made is None else made
     if size is not None:
-        return df.withColumn(enc, made).withColumn(enc, with_padding(enc, round_up(F.lit(size), multiple), pad_id, pad_token, right, pad_type_id))
+        return df.withColumn(enc, made).withColumn(enc, with_padding(enc, round_up(F.lit(size), multiple), pad_id, pad_token, right, pad_type_id, fields))
     longest = F.max(length(enc) if length_of is None else length_of).alias("__longest")
     if batch_by is None:
-        return df.withColumn(enc, made).withColumn(enc, with_padding(enc, round_up(F.lit(df.agg(longest).first()[0] or 0), multiple), pad_id, pad_token, right, pad_type_id))
+        return df.withColumn(enc, made).withColumn(enc, with_padding(enc, round_up(F.lit(df.agg(longest).first()[0] or 0), multiple), pad_id, pad_token, right, pad_type_id, fields))
     maxima = df.groupBy(F.col(batch_by).alias("__batch")).agg(longest)
     few = maxima.limit(BROADCAST_BATCHES + 1).collect()
     if len(few) <= BROADCAST_BATCHES:
         maxima = F.broadcast(df.sparkSession.createDataFrame(few, maxima.schema))
     both = df.join(maxima, F.col(batch_by).eqNullSafe(F.col("__batch"))).drop("__batch")
-    return both.withColumn(enc, made).withColumn(enc, with_padding(enc, round_up(F.col("__longest"), multiple), pad_id, pad_token, right, pad_type_id)).drop("__longest")
+    return both.withColumn(enc, made).withColumn(enc, with_padding(enc, round_up(F.col("__longest"), multiple), pad_id, pad_token, right, pad_type_id, fields)).drop("__longest")
 
 
 def with_truncation(enc: Column | str, max_length: Int, from_end: bool = True, keep_special: bool = False) -> Column:
@@ -230,7 +254,7 @@ def _first(mask: Column) -> Column:
 def char_to_token(enc: Column | str, pos: Int, sequence: Int = 0) -> Column:
     """C1"""
     enc = _col(enc)
-    return _first(F.transform(F.arrays_zip(enc["sequence_ids"].alias("q"), enc["offsets"].alias("o")), lambda x: F.coalesce((x["q"] == _int(sequence)) & (x["o"]["start"] <= _int(pos)) & (_int(pos) < x["o"]["end"]), F.lit(False))))
+    return _first(F.zip_with(enc["sequence_ids"], enc["offsets"], lambda q, o: F.coalesce((o["start"] <= _int(pos)) & (_int(pos) < o["end"]) & (q == _int(sequence)), F.lit(False))))
 
 
 def char_to_word(enc: Column | str, pos: Int, sequence: Int = 0) -> Column:
@@ -256,21 +280,21 @@ def token_to_sequence(enc: Column | str, i: Int) -> Column:
 
 
 def _of_word(enc: Column, word: Int, sequence: Int) -> Column:
-    zipped = F.arrays_zip(enc["sequence_ids"].alias("q"), enc["word_ids"].alias("w"), enc["offsets"].alias("o"))
-    marked = F.transform(zipped, lambda x, i: F.when((x["q"] == _int(sequence)) & (x["w"] == _int(word)), F.struct(i.alias("i"), x["o"]["start"].alias("s"), x["o"]["end"].alias("e"))))
-    return F.filter(marked, lambda x: x.isNotNull())
+    """Places of the tokens of a word."""
+    at = F.zip_with(enc["word_ids"], enc["sequence_ids"], lambda w, q: (w == _int(word)) & (q == _int(sequence)))
+    return F.filter(F.transform(at, lambda x, i: F.when(x, i)), lambda i: i.isNotNull())
 
 
 def word_to_chars(enc: Column | str, word: Int, sequence: Int = 0) -> Column:
     """C5"""
-    found = _of_word(_col(enc), word, sequence)
-    return F.when(F.size(found) > 0, F.struct(F.array_min(F.transform(found, lambda x: x["s"])).alias("start"), F.array_max(F.transform(found, lambda x: x["e"])).alias("end")))
+    enc = _col(enc)
+    spans = F.transform(_of_word(enc, word, sequence), lambda i: F.get(enc["offsets"], i))
+    return let(spans, lambda a: F.when(F.size(a) > 0, F.struct(F.array_min(a["start"]).alias("start"), F.array_max(a["end"]).alias("end"))))
 
 
 def word_to_tokens(enc: Column | str, word: Int, sequence: Int = 0) -> Column:
     """C6"""
-    at = F.transform(_of_word(_col(enc), word, sequence), lambda x: x["i"])
-    return F.when(F.size(at) > 0, F.struct(F.array_min(at).alias("start"), (F.array_max(at) + 1).alias("end")))
+    return let(_of_word(_col(enc), word, sequence), lambda at: F.when(F.size(at) > 0, F.struct(F.array_min(at).alias("start"), (F.array_max(at) + 1).alias("end"))))
 
 
 def derived_sequences(type_ids: Column, special_mask: Column) -> Column:
@@ -281,7 +305,7 @@ def derived_sequences(type_ids: Column, special_mask: Column) -> Column:
 def n_sequences(enc: Column | str) -> Column:
     """C7"""
     q = _col(enc)["sequence_ids"]
-    return F.when(F.exists(q, lambda x: F.coalesce(x == 1, F.lit(False))), 2).when(F.exists(q, lambda x: F.coalesce(x == 0, F.lit(False))), 1).otherwise(0)
+    return F.when(F.array_contains(q, 1), 2).when(F.array_contains(q, 0), 1).otherwise(0)
 
 
 def fuse_unknown(ids: Column, unk: int) -> Column:

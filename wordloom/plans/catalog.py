@@ -14,6 +14,7 @@ from wordloom.model import CONTROL, MARK, AddedToken, NormalizerOp, NormalizerSp
 from wordloom.operators import columns as C
 from wordloom.operators import encode as E
 from wordloom.operators import vocabulary as V
+from wordloom.operators.encoding import FIELDS
 from wordloom.plans import toy
 from wordloom.sources.tables import read_table as table
 from wordloom.sources.tables import spread
@@ -230,13 +231,13 @@ def a8_fuse_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Encodings: made of the words of each text, with every third one's span empty, so that SQL can make the same.
 
 
-def _encoding(text: Column, type_id: int = 0) -> Column:
+def _encoding(text: Column, type_id: int = 0, fields: tuple[str, ...] = FIELDS) -> Column:
     def of(words: Column) -> Column:
         body = C.content(
-            words, F.transform(words, F.char_length), F.transform(words, lambda w, i: F.struct(F.when(i % 3 == 2, 0).otherwise(10 * i).alias("start"), F.when(i % 3 == 2, 0).otherwise(10 * i + F.char_length(w)).alias("end"))),
-            F.transform(words, lambda w, i: F.when(i % 3 != 2, F.floor(i / 2).cast("int"))), type_id,
+            words, F.transform(words, F.char_length), F.transform(words, lambda w, i: F.when(i % 3 == 2, F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"))).otherwise(F.struct((10 * i).alias("start"), (10 * i + F.char_length(w)).alias("end")))),
+            F.transform(words, lambda w, i: F.when(i % 3 != 2, F.shiftright(i, 1))), type_id, n=F.size(words),
         )
-        return C.joined(C.special("<s>", 1), body, C.special("</s>", 2, 1))
+        return C.joined_in_place(C.special("<s>", 1), body, C.special("</s>", 2, 1), fields=fields)
 
     return C.let(F.split(F.coalesce(text, F.lit("")), " "), of)
 
@@ -256,9 +257,10 @@ _SHOWN = ("tokens", "ids", "types", "attention", "special", "offsets", "words",
 
 
 def _show(key: str, enc: Column) -> list[Column]:
-    spans = F.transform(enc["offsets"], lambda o: F.concat_ws(":", o["start"].cast("string"), o["end"].cast("string")))
-    parts = (enc["tokens"], enc["ids"], enc["type_ids"], enc["attention_mask"], enc["special_tokens_mask"], spans, enc["word_ids"], enc["sequence_ids"])
-    return [F.col(key), *[_join(p).alias(n) for p, n in zip(parts, _SHOWN)]]
+    # spans are written as {0, 5} by the cast
+    spans = F.btrim(F.replace(F.replace(F.array_join(enc["offsets"].cast("array<string>"), "|"), F.lit("}|{"), F.lit(" ")), F.lit(", "), F.lit(":")), F.lit("{}"))
+    parts = (_join(enc[f]) if f != "offsets" else spans for f in FIELDS)
+    return [F.col(key), *[p.alias(n) for p, n in zip(parts, _SHOWN)]]
 
 
 def _sql_show(key: str, parts: dict[str, str], source: str) -> str:
@@ -287,9 +289,9 @@ def _encoding_query(name: str, of: Callable[[Column], Column], parts: dict[str,
 
 
 _encoding_query("e10_build", lambda e: e, {k: f"e.{k}" for k in _FILL})
-_encoding_query("p1_padding", lambda e: C.with_padding(e, 300, 9, pad_type_id=3), _sql_padded("300"))
-_encoding_query("p1_padding_left", lambda e: C.with_padding(e, 300, 9, right=False, pad_type_id=3), _sql_padded("300", False))
-_encoding_query("p2_padding_multiple", lambda e: C.pad_to_multiple(e, 64, 9, pad_type_id=3), _sql_padded("(len(e.i) + 63) // 64 * 64"))
+_encoding_query("p1_padding", lambda e: C.with_padding("e", 300, 9, pad_type_id=3), _sql_padded("300"))
+_encoding_query("p1_padding_left", lambda e: C.with_padding("e", 300, 9, right=False, pad_type_id=3), _sql_padded("300", False))
+_encoding_query("p2_padding_multiple", lambda e: C.pad_to_multiple("e", 64, 9, pad_type_id=3), _sql_padded("(len(e.i) + 63) // 64 * 64"))
 _encoding_query("t1_truncation", lambda e: C.with_truncation(e, 20), {k: f"e.{k}[:20]" for k in _FILL})
 _encoding_query("t1_truncation_start", lambda e: C.with_truncation(e, 20, from_end=False), {k: f"e.{k}[-20:]" for k in _FILL})
 _encoding_query("t2_truncation_special", lambda e: C.with_truncation(e, 20, keep_special=True), {k: f"CASE WHEN len(e.i) <= 20 THEN e.{k} ELSE e.{k}[:19] || e.{k}[-1:] END" for k in _FILL})
@@ -298,9 +300,9 @@ _encoding_query("t2_truncation_special_start", lambda e: C.with_truncation(e, 20
 
 @_query(f"{_ENCODED}, n AS (SELECT e.*, lang, max(len(e.i)) OVER (PARTITION BY lang) AS longest FROM e JOIN documents USING (doc_id)) SELECT doc_id, lang, len(e.i) + greatest((longest + 7) // 8 * 8 - len(e.i), 0) AS size, list_sum({_sql_padded('(longest + 7) // 8 * 8')['i']})::BIGINT AS total FROM n")
 def p3_pad_to_longest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Padding to the longest encoding of a language, rounded up to eights."""
-    made = _documents(spark, sf_dir, "lang", _encoding(F.col("text")).alias("e"))
-    padded = C.pad_to_longest(made, "e", 9, pad_type_id=3, batch_by="lang", multiple=8)
+    """Padding to the longest encoding of a language, rounded up to eights; only ids are shown, so only ids are made."""
+    made = _documents(spark, sf_dir, "lang", _encoding(F.col("text"), fields=("ids",)).alias("e"))
+    padded = C.pad_to_longest(made, "e", 9, pad_type_id=3, batch_by="lang", multiple=8, fields=("ids",))
     return padded.select("doc_id", "lang", F.size("e.ids").cast("long").alias("size"), F.aggregate("e.ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
 
@@ -356,7 +358,7 @@ def c_index_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
             C.token_to_sequence(e, 2).alias("token_sequence"), span(C.word_to_chars(e, 3)).alias("word_chars"), span(C.word_to_tokens(e, 3)).alias("word_tokens"), C.n_sequences(e).alias("n_sequences"), C.length(e).alias("size"),
         )
 
-    return _documents(spark, sf_dir, C.let(_encoding(F.col("text")), mapped).alias("m")).select("doc_id", "m.*")
+    return _documents(spark, sf_dir, _encoding(F.col("text")).alias("e")).select("doc_id", mapped(F.col("e")).alias("m")).select("doc_id", "m.*")
 
 
 @_query("SELECT doc_id, CASE WHEN source IS NULL THEN 1 ELSE 2 END AS n_sequences, CASE WHEN source IS NULL THEN NULL ELSE (len(string_split(coalesce(text, ''), ' ')) + 3)::INTEGER END AS first_of_second FROM documents")
