@@ -257,10 +257,9 @@ _SHOWN = ("tokens", "ids", "types", "attention", "special", "offsets", "words",
 
 
 def _show(key: str, enc: Column) -> list[Column]:
-    # spans are written as {0, 5} by the cast
-    spans = F.btrim(F.replace(F.replace(F.array_join(enc["offsets"].cast("array<string>"), "|"), F.lit("}|{"), F.lit(" ")), F.lit(", "), F.lit(":")), F.lit("{}"))
-    parts = (_join(enc[f]) if f != "offsets" else spans for f in FIELDS)
-    return [F.col(key), *[p.alias(n) for p, n in zip(parts, _SHOWN)]]
+    shown = dict(zip(FIELDS, (enc[f] for f in FIELDS)))
+    shown["offsets"] = F.transform(enc["offsets"], lambda o: F.concat(o["start"].cast("string"), F.lit(":"), o["end"].cast("string")))
+    return [F.col(key), *[_join(p).alias(n) for p, n in zip(shown.values(), _SHOWN)]]
 
 
 def _sql_show(key: str, parts: dict[str, str], source: str) -> str:
