@@ -11,7 +11,7 @@ from wordloom.model import LONGEST_FIRST, ONLY_FIRST, AddedToken
 from wordloom.operators import encode as E
 from wordloom.plans import toy
 from wordloom.sources.charsmap import Charsmap
-from wordloom.operators.tokenizer import Tokenizer
+from wordloom.operators.tokenizer import Tokenizer, align
 
 
 def test_a_batch_is_cut_by_bytes():
@@ -77,3 +77,26 @@ def test_ids_of_tokens_with_nulls(spark):
     df = spark.createDataFrame(rows, "i int, t array<string>").coalesce(1)
     got = {r["i"]: r["ids"] for r in df.select("i", E.tokens_to_ids("t", tok).alias("ids")).collect()}
     assert got == {i: None if t is None else [tok.vocab.piece_to_id(x) for x in t] for i, t in rows}
+
+
+def test_rows_segment_each_word_once():
+    """Ids of rows are those of whole texts, spans those of all characters, and a repeated word is not segmented again."""
+    tok, rng, calls = toy.tokenizer(), random.Random(9), []
+    words = ("the", "hand", "über", "x.", "漢", "　", "", "\t", "▁", "Ａb", "‍")
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 30))) for _ in range(200)]
+    for t in texts:
+        normal = tok._normal.normalize(t)
+        rows = tok.rows(t)
+        assert [r[0] for r in rows] == tok.segmenter.tokenize(normal)
+        spans, at = align(t, normal), 0
+        assert [s for s in spans if s] == sorted(s for s in spans if s)
+        for i, token, span, _ in rows:
+            n = len(token) if normal.startswith(token, at) else 1
+            own = [s for s in spans[at : at + n] if s]
+            assert span == ((min(s for s, _ in own), max(e for _, e in own)) if own else (0, 0))
+            at += n
+    tok = toy.tokenizer()
+    plain = tok._word_segmenter.tokenize
+    tok._word_segmenter.tokenize = lambda part: calls.append(part) or plain(part)
+    tok.rows("the hand of the hand " * 50)
+    assert sorted(calls) == sorted({"▁the", "▁hand", "▁of"})
